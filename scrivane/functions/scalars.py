@@ -70,12 +70,18 @@ def _replaced(c: Column, codes: list[int]) -> Column:
     return c
 
 
-def escape_controls(c: Column) -> Column:
-    """Control characters of a finished text as \\u00XX: those of plain text first, the rare others only where there are any."""
+CONTROL = "[\\x00-\\x1F]"
+
+
+def escape_controls(c: Column, found: Column | None = None) -> Column:
+    """Control characters of a finished text as \\u00XX: those of plain text first, the rare others only where there are any.
+
+    found: whether there are any, if that can be told from less than the whole text.
+    """
     common = [9, 10, 13]
     rest = [k for k in range(32) if k not in common]
     rare = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]"
-    return F.when(~c.rlike("[\\x00-\\x1F]"), c).when(c.rlike(rare), outlined(c, lambda x: _replaced(x, common + rest))).otherwise(_replaced(c, common))
+    return F.when(~(c.rlike(CONTROL) if found is None else found), c).when(c.rlike(rare), outlined(c, lambda x: _replaced(x, common + rest))).otherwise(_replaced(c, common))
 
 
 def json_key(name: str) -> str:

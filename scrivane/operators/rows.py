@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrivane.functions.geometry import KINDS, geometry_json
-from scrivane.functions.scalars import DATE_ONLY, FLOATING, FULL_TIMESTAMP, NO_SECONDS, TIMESTAMPS, escape_controls, is_finite, json_key, json_string
+from scrivane.functions.scalars import CONTROL, DATE_ONLY, FLOATING, FULL_TIMESTAMP, NO_SECONDS, SCALARS, TEXTS, TIMESTAMPS, escape_controls, is_finite, json_key, json_string
 from scrivane.functions.unbox import unbox
 from scrivane.functions.values import cell, matrix_cell
 
@@ -54,12 +54,25 @@ def properties(df: DataFrame, *, leave_out: Iterable[str] = (), row_name_col: st
     return F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")) if pairs else F.lit("{}")
 
 
-def _finished(df: DataFrame, text: Column, keep: Iterable[str | Column], auto_unbox: bool, alias: str) -> DataFrame:
+def _has_controls(df: DataFrame, leave_out: set[str]) -> Column | None:
+    """Whether a row's strings hold control characters; None if only its finished text can tell."""
+    fields = [f for f in df.schema.fields if f.name not in leave_out]
+    if any(not isinstance(f.dataType, SCALARS) for f in fields):
+        return None
+    found = F.lit(False)
+    for f in fields:
+        if isinstance(f.dataType, TEXTS):
+            found = found | F.coalesce(named(f.name).rlike(CONTROL), F.lit(False))
+    return found
+
+
+def _finished(df: DataFrame, text: Column, keep: Iterable[str | Column], auto_unbox: bool, alias: str, leave_out: set[str]) -> DataFrame:
     """Escapes once a row, in a projection of its own, so that the row's expression is evaluated once."""
     keep = [named(k) if isinstance(k, str) else k for k in keep]
-    first = df.select(*(k.alias(f"_k{i}") for i, k in enumerate(keep)), text.alias("_text"))
+    found = _has_controls(df, leave_out)
+    first = df.select(*(k.alias(f"_k{i}") for i, k in enumerate(keep)), text.alias("_text"), *([] if found is None else [found.alias("_found")]))
     names = df.select(*keep).columns if keep else []
-    done = escape_controls(F.col("_text"))
+    done = escape_controls(F.col("_text"), None if found is None else F.col("_found"))
     return first.select(*(F.col(f"_k{i}").alias(n) for i, n in enumerate(names)), (unbox(done) if auto_unbox else done).alias(alias))
 
 
@@ -73,15 +86,16 @@ def row_json(df: DataFrame, *, keep: Iterable[str | Column] = (), auto_unbox: bo
     if mode == "fast":
         fields = [F.when(is_finite(named(f.name)), named(f.name)).alias(f.name) if isinstance(f.dataType, FLOATING) else named(f.name) for f in df.schema.fields if f.name not in set(options.get("leave_out", ()))]
         return df.select(*keep, F.to_json(F.struct(*fields)).alias(alias))
-    return _finished(df, properties(df, **options), keep, auto_unbox, alias)
+    return _finished(df, properties(df, **options), keep, auto_unbox, alias, set(options.get("leave_out", ())))
 
 
 def feature_json(df: DataFrame, geom_col: str, *, keep: Iterable[str | Column] = (), kinds: Iterable[str] = KINDS, auto_unbox: bool = False, alias: str = "json", **options) -> DataFrame:
     """Each row as a GeoJSON feature: all columns but the geometry are its properties."""
     check_geometry(df, geom_col)
-    body = properties(df, leave_out={geom_col, *options.pop("leave_out", ())}, **options)
+    leave_out = {geom_col, *options.pop("leave_out", ())}
+    body = properties(df, leave_out=leave_out, **options)
     text = F.concat(F.lit('{"type":"Feature","properties":'), body, F.lit(',"geometry":'), geometry_json(named(geom_col), kinds), F.lit("}"))
-    return _finished(df, text, keep, auto_unbox, alias)
+    return _finished(df, text, keep, auto_unbox, alias, leave_out)
 
 
 def check_geometry(df: DataFrame, geom_col: str) -> None:
