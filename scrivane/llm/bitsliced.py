@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from scrivane.llm.common import by_value, materialise
 
 SCALE, TOP = 256, 5
-#: Rows of a block of the index at most; queries that are scored against a block in one go at most, and groups of them at least.
-BLOCK, GROUP, GROUPS = 65536, 4096, 16
+#: Rows of a block of the index at most; queries of a group on average at most; groups that small query sets are cut into.
+BLOCK, GROUP, GROUPS = 65536, 16384, 16
 #: Larger components would let a score outgrow a long.
 MOST = 2.0**19
 _WORD = np.uint64

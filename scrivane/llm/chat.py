@@ -70,7 +70,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) ->
     named = F.col("conv").isNotNull() & F.col("call").isNotNull()
     c = calls.where(named).groupBy("conv", "call").agg(F.min(F.struct("name", "arguments", "after")).alias("v"), F.count("*").alias("n_calls")).select("conv", "call", "v.name", "v.arguments", "n_calls")
     r = results.where(named).groupBy("conv", "call").agg(F.min("content").alias("content"), F.count("*").alias("n_results"))
-    both = c.join(r, ["conv", "call"], "full").join(depths(calls.where(named)), ["conv", "call"], "left")
+    both = c.join(r.hint("shuffle_hash"), ["conv", "call"], "full").join(depths(calls.where(named)), ["conv", "call"], "left")
     lone_calls = calls.where(~named).select("conv", "call", "name", "arguments", F.lit(1).cast("long").alias("n_calls"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("long").alias("n_results"), F.lit(0).cast("long").alias("depth"))
     lone_results = results.where(~named).select("conv", "call", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), F.lit(None).cast("long").alias("n_calls"), "content", F.lit(1).cast("long").alias("n_results"), F.lit(None).cast("long").alias("depth"))
     rows = both.unionByName(lone_calls).unionByName(lone_results).withColumn("parsed", F.try_parse_json("arguments"))

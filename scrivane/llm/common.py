@@ -32,6 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as spark.checkpoint.dir names it; a temporary one where that is unset (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    named = named or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if sc.applicationId not in _own:
@@ -41,19 +42,40 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/scrivane/{tag}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/scrivane-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there and a lost executor costs nothing that was written."""
-    path = scratch(df.sparkSession, tag)
+def clean(spark: SparkSession, path: str | None = None) -> None:
+    """Deletes a folder that this session has written, by default all of them: results not yet written elsewhere go too."""
+    root = f"{shared_dir(spark)}/scrivane-{spark.sparkContext.applicationId}"
+    if path and not path.startswith(root):
+        raise ValueError(f"not written by this session: {path}")
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path or root)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def materialise(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends there and a lost executor costs nothing that was written.
+
+    Such tables stay until clean() or until the folder goes, as results read them when they are used.
+    """
+    path = path or scratch(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has been counted to have few rows; else unchanged, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df, a written table, marked for broadcast if it has been counted to have few rows; else unchanged, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def row_key(df: DataFrame, name: str) -> DataFrame:
@@ -103,4 +125,17 @@ def roots(n: int, links: Iterable[tuple[int, int]]) -> list[int]:
     return [top(x) for x in range(n)]
 
 
+def min_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """As roots, for links given as arrays; dense groups have very many."""
+    label = np.arange(n)
+    while True:
+        least, new = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 by_value(__name__)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivane.llm.common import materialise
+from scrivane.llm.common import clean, materialise, scratch
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -31,10 +31,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns
     now = edges.where(f"`{a}` <> `{b}`").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
-    now, before = materialise(now, "edges"), None
+    spark, path, before = edges.sparkSession, scratch(edges.sparkSession, "edges"), None
+    now = materialise(now, "edges", path)
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark[0] == 0 or mark == before:
             break
-        before, now = mark, materialise(_small(_large(now).distinct()).distinct(), "edges")
+        before, old, path = mark, path, scratch(spark, "edges")
+        now = materialise(_small(_large(now).distinct()).distinct(), "edges", path)
+        clean(spark, old)  # a round has been written whole; nothing reads the one before it
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select(F.col("b"), F.col("b")).distinct())

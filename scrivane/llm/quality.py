@@ -71,7 +71,7 @@ def quality(df: DataFrame, text: str = "text", id: str = "doc_id", lang: str | N
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("_dup_lines"),
         F.regexp_count("_rest", F.lit(f"[{SYMBOLS}]")).alias("_symbols"),
         F.length("_rest").alias("_not_letters"),
-        F.regexp_count("_rest", F.lit(r"\s")).alias("_space"),
+        F.regexp_count("_rest", F.lit(f"[{SPACE}]")).alias("_space"),
         F.regexp_count("_rest", F.lit(r"\p{Nd}")).alias("_digits"),
         F.regexp_count("_rest", F.lit(r"""[.,;:!?'"()\-]""")).alias("_points"),
         F.expr("CASE WHEN size(_words) >= 3 THEN transform(sequence(0, size(_words) - 3), i -> xxhash64(get(_words, i), get(_words, i + 1), get(_words, i + 2))) ELSE cast(array() as array<bigint>) END").alias("_grams"),

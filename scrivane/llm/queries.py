@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from scrivane.llm import bitsliced, bpe, chat, html_extract, packing, quality, simhash, substring, token_cache, url_filter
 from scrivane.llm.common import table
+from scrivane.llm.sql import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,7 +39,7 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.repeated_passages(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "para", "start", "length", "words", "cluster", F.col("keeper").alias("keeper_doc_id"), "removed")
+    return found.select(F.col("id").alias("doc_id"), "para", "start", "length", "words", F.col("keeper").alias("keeper_doc_id"), "keeper_para", "removed")
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +66,3 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (op1_exact_top_k, op2_byte_bpe, op3_html_extraction, op4_best_fit_packing, op5_simhash_near_dedup, op6_substring_dedup, op7_url_filters, op8_token_counts, op9_chat_formatting, op10_quality_rules)
 }
-ORACLE_SQL: dict[str, str] = {}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrivane.llm.cells import bucket_cells, dealt_cells
-from scrivane.llm.common import by_value, materialise, roots, row_key, small, text_of, whole_groups
+from scrivane.llm.common import by_value, fresh, materialise, min_labels, row_key, small, text_of, whole_groups
 from scrivane.llm.components import connected_components
 
 WORDS, RADIUS, LEAF = 3, 3, 16
@@ -93,12 +93,10 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not tree.size or not ask.size:
                 continue
             found = [(ask[q], tree[v]) for q, v in BKTree(own[tree]).within(own[ask])]
-            root = np.array(roots(n, (p for q, v in found for p in zip(q.tolist(), v.tolist(), strict=True) if p[0] != p[1])))
+            root = min_labels(n, *(np.concatenate([p[k] for p in found] or [ask[:0]]) for k in (0, 1)))
             moved = np.flatnonzero(root != np.arange(n))
             a.append(own[moved]), b.append(own[root[moved]])
-        if (total := sum(map(len, a))) > 0:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
-            del total
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
 
 
 def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -129,13 +127,14 @@ def hex64(fp: str):
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """df with one row of each component: that of the smallest id (nulls last, then the first row). df must be a reread table."""
-    keyed = row_key(df, "_llm_row")
-    found = near_duplicates(keyed, text, "_llm_row")
-    ids = found.select("id", "component").join(keyed.select(F.col("_llm_row").alias("id"), F.col(id).alias("doc")), "id")
+    row = fresh(df, "_llm_row")
+    keyed = row_key(df, row)
+    found = near_duplicates(keyed, text, row)
+    ids = found.select("id", "component").join(keyed.select(F.col(row).alias("id"), F.col(id).alias("doc")), "id")
     order = F.struct(F.col("doc").isNull().alias("z"), F.col("doc").alias("doc"), F.col("id").alias("id"))
     groups = ids.groupBy("component").agg(F.min(order).alias("stays"), F.count("*").alias("n")).where("n > 1")
-    gone = materialise(ids.join(groups, "component").where("id <> stays.id").select(F.col("id").alias("_llm_row")), "gone")
-    return keyed.join(small(gone), "_llm_row", "left_anti").drop("_llm_row")
+    gone = materialise(ids.join(groups, "component").where("id <> stays.id").select(F.col("id").alias(row)), "gone")
+    return keyed.join(small(gone), row, "left_anti").drop(row)
 
 
 by_value(__name__)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrivane.llm.cells import bucket_cells, dealt_cells
-from scrivane.llm.common import by_value, materialise, roots, row_key, small, text_of, whole_groups
+from scrivane.llm.common import by_value, fresh, materialise, row_key, small, text_of, whole_groups
 from scrivane.llm.components import connected_components
 
 #: Shingle words, least Jaccard similarity, least words of a paragraph, hashes of a signature, least recall at the threshold.
@@ -101,10 +101,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(similar: float):
     def alike(x: frozenset, y: frozenset) -> bool:
-        if min(len(x), len(y)) < similar * max(len(x), len(y)):
+        if min(len(x), len(y)) < similar * max(len(x), len(y)) - 1e-9:
             return False
         both = len(x & y)
-        return both >= similar * (len(x) + len(y) - both)
+        return both >= similar * (len(x) + len(y) - both) - 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links that join a cell's members into its components. Pairs that a link already joins aren't compared again."""
@@ -138,13 +138,14 @@ def _verified(similar: float):
 
 
 def repeated_passages(df: DataFrame, text: str = "text", id: str = "doc_id", least_words: int = LEAST_WORDS, similar: float = SIMILAR) -> DataFrame:
-    """One row for each paragraph that is repeated, exactly or nearly: (row, id, para, start, length, words, cluster, keeper, removed).
+    """One row for each paragraph that is repeated, exactly or nearly: (row, id, para, start, length, words,
+    cluster, keeper, keeper_para, removed).
 
     A paragraph is a line of at least least_words words; start and length are in code points, para counts lines from 0.
     Paragraphs that hold the same words are one class, joined by their 128-bit digest. Classes that share a MinHash
     band are candidates; links hold at Jaccard similar or more over five-word shingles, computed exactly; clusters are
     the components of links. In each cluster the first paragraph (by smallest id, nulls last, then position) stays,
-    whose id is keeper; the others are marked as removed. Repeats within one document count too.
+    whose id and number are keeper and keeper_para; the others are marked as removed. Repeats within one document count too.
 
     df must be a reread table. Null texts are empty and have no paragraphs; repeated rows repeat their paragraphs; an
     empty table gives an empty result; other columns are ignored, whatever their names.
@@ -169,23 +170,25 @@ def repeated_passages(df: DataFrame, text: str = "text", id: str = "doc_id", lea
     firsts = members.groupBy("root").agg(F.min(order).alias("stays"))
     both = members.join(firsts, "root")
     removed = ~((F.col("row") == F.col("stays.row")) & (F.col("para") == F.col("stays.para")))
-    return both.select("row", "id", "para", "start", "length", "words", F.lower(F.hex("root")).alias("cluster"), F.col("stays.id").alias("keeper"), removed.alias("removed"))
+    return both.select("row", "id", "para", "start", "length", "words", F.lower(F.hex("root")).alias("cluster"), F.col("stays.id").alias("keeper"), F.col("stays.para").alias("keeper_para"), removed.alias("removed"))
 
 
 def drop_repeated_passages(df: DataFrame, text: str = "text", id: str = "doc_id", chars: str | None = None) -> DataFrame:
     """df without the paragraphs marked as removed; rows of which no text is left go. chars: a column that holds the text's length."""
-    gone = repeated_passages(df, text, id).where("removed").groupBy("row").agg(F.collect_list("para").alias("_llm_gone"))
-    gone = materialise(gone.withColumnRenamed("row", "_llm_row"), "removals")
-    both = row_key(df, "_llm_row").join(small(gone), "_llm_row", "left")
+    row, gone_, text_ = (fresh(df, n) for n in ("_llm_row", "_llm_gone", "_llm_text"))
+    gone = repeated_passages(df, text, id).where("removed").groupBy("row").agg(F.collect_list("para").alias(gone_))
+    gone = materialise(gone.withColumnRenamed("row", row), "removals")
+    both = row_key(df, row).join(small(gone), row, "left")
     lines = F.split(F.col(text), "\n", -1)
-    kept = F.sort_array(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_llm_gone"))
+    kept = F.sort_array(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone_))
     # The outer transform over one element splits the text once, not for each line.
     left = F.transform(F.array(lines), lambda v: F.array_join(F.transform(kept, lambda k: F.get(v, k)), "\n"))[0]
-    both = both.withColumn("_llm_text", F.when(F.col("_llm_gone").isNull(), F.col(text)).otherwise(left))
-    both = both.where(F.col("_llm_gone").isNull() | F.col("_llm_text").rlike(r"[^\x20\x09-\x0D]"))
-    out = both.withColumn(text, F.col("_llm_text"))
+    whole = F.col(gone_).isNull()
+    both = both.withColumn(text_, F.when(whole, F.col(text)).otherwise(left))
+    both = both.where(whole | F.col(text_).rlike(r"[^\x20\x09-\x0D]"))
+    out = both.withColumn(text, F.col(text_))
     if chars:
-        out = out.withColumn(chars, F.when(F.col("_llm_gone").isNull(), F.col(chars)).otherwise(F.length(text).cast(df.schema[chars].dataType)))
+        out = out.withColumn(chars, F.when(whole, F.col(chars)).otherwise(F.length(text).cast(df.schema[chars].dataType)))
     return out.select(*(F.col(f"`{c}`") for c in df.columns))
 
 
