@@ -19,7 +19,7 @@ WORDS, SIMILAR, LEAST_WORDS, HASHES, RECALL = 5, 0.8, 50, 64, 0.999
 #: Paragraphs of a shard of a bucket; larger buckets are cut into cells.
 SHARD = 256
 #: Words whose hashes a task keeps at a time.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
