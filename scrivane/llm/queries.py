@@ -39,7 +39,7 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.repeated_passages(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "para", "start", "length", "words", F.col("keeper").alias("keeper_doc_id"), "keeper_para", "removed")
+    return found.select(F.col("id").alias("doc_id"), "kind", "para", "start", "length", "words", F.col("keeper").alias("keeper_doc_id"), "keeper_para", "removed")
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
-"""Repeated passages: paragraph MinHash, banded for recall, verified by exact Jaccard, clustered by components."""
+"""Repeated passages: paragraph MinHash, banded for recall, verified by exact Jaccard, clustered by components; then runs inside paragraphs."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from scrivane.llm.cells import bucket_cells, dealt_cells
 from scrivane.llm.common import by_value, fresh, materialise, row_key, small, text_of, whole_groups
 from scrivane.llm.components import connected_components
+from scrivane.llm.runs import repeated_runs, without
 
 #: Shingle words, least Jaccard similarity, least words of a paragraph, hashes of a signature, least recall at the threshold.
 WORDS, SIMILAR, LEAST_WORDS, HASHES, RECALL = 5, 0.8, 50, 64, 0.999
@@ -138,8 +140,8 @@ def _verified(similar: float):
 
 
 def repeated_passages(df: DataFrame, text: str = "text", id: str = "doc_id", least_words: int = LEAST_WORDS, similar: float = SIMILAR) -> DataFrame:
-    """One row for each paragraph that is repeated, exactly or nearly: (row, id, para, start, length, words,
-    cluster, keeper, keeper_para, removed).
+    """One row for each passage that is repeated, exactly or nearly: (row, id, kind, para, start, length, words,
+    keeper, keeper_para, removed). kind is paragraph or run.
 
     A paragraph is a line of at least least_words words; start and length are in code points, para counts lines from 0.
     Paragraphs that hold the same words are one class, joined by their 128-bit digest. Classes that share a MinHash
@@ -147,6 +149,10 @@ def repeated_passages(df: DataFrame, text: str = "text", id: str = "doc_id", lea
     the components of links. In each cluster the first paragraph (by smallest id, nulls last, then position) stays,
     whose id and number are keeper and keeper_para; the others are marked as removed. Repeats within one document count too.
 
+    A passage set into paragraphs of otherwise unlike text makes these no more similar, so what the removed paragraphs
+    leave is searched for runs of least_words words or more that occur twice (runs.py). Their first place stays; para is the
+    line that a run begins in, and it may go on over several.
+
     df must be a reread table. Null texts are empty and have no paragraphs; repeated rows repeat their paragraphs; an
     empty table gives an empty result; other columns are ignored, whatever their names.
     """
@@ -170,21 +176,35 @@ def repeated_passages(df: DataFrame, text: str = "text", id: str = "doc_id", lea
     firsts = members.groupBy("root").agg(F.min(order).alias("stays"))
     both = members.join(firsts, "root")
     removed = ~((F.col("row") == F.col("stays.row")) & (F.col("para") == F.col("stays.para")))
-    return both.select("row", "id", "para", "start", "length", "words", F.lower(F.hex("root")).alias("cluster"), F.col("stays.id").alias("keeper"), F.col("stays.para").alias("keeper_para"), removed.alias("removed"))
+    columns = ("row", "id", "kind", "para", "start", "length", "words", "keeper", "keeper_para", "removed")
+    both = both.withColumns({"kind": F.lit("paragraph"), "keeper": F.col("stays.id"), "keeper_para": F.col("stays.para"), "removed": removed})
+    both = materialise(both.select(*columns), "similar")
+    gone = materialise(both.where("removed").groupBy("row").agg(F.collect_list("para").alias("gone")), "gone")
+    runs = repeated_runs(keyed, gone, least_words).withColumn("kind", F.lit("run"))
+    return both.unionByName(runs.select(*columns))
+
+
+def _cut():
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, lines: pd.Series, starts: pd.Series, lengths: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else without(t, set(k), list(zip(s, n, strict=True))) for t, k, s, n in zip(texts, lines, starts, lengths, strict=True)], dtype=object)
+
+    return cut
 
 
 def drop_repeated_passages(df: DataFrame, text: str = "text", id: str = "doc_id", chars: str | None = None) -> DataFrame:
-    """df without the paragraphs marked as removed; rows of which no text is left go. chars: a column that holds the text's length."""
+    """df without the passages marked as removed; rows of which no text is left go. chars: a column that holds the text's length."""
     row, gone_, text_ = (fresh(df, n) for n in ("_llm_row", "_llm_gone", "_llm_text"))
-    gone = repeated_passages(df, text, id).where("removed").groupBy("row").agg(F.collect_list("para").alias(gone_))
-    gone = materialise(gone.withColumnRenamed("row", row), "removals")
+    is_run = F.col("kind") == "run"
+    lists = [F.collect_list(F.when(~is_run, F.col("para"))).alias("lines"), F.collect_list(F.when(is_run, F.struct("start", "length"))).alias("runs")]
+    gone = repeated_passages(df, text, id).where("removed").groupBy("row").agg(*lists)
+    gone = materialise(gone.select(F.col("row").alias(row), F.struct("lines", "runs").alias(gone_)), "removals")
     both = row_key(df, row).join(small(gone), row, "left")
-    lines = F.split(F.col(text), "\n", -1)
-    kept = F.sort_array(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone_))
-    # The outer transform over one element splits the text once, not for each line.
-    left = F.transform(F.array(lines), lambda v: F.array_join(F.transform(kept, lambda k: F.get(v, k)), "\n"))[0]
     whole = F.col(gone_).isNull()
-    both = both.withColumn(text_, F.when(whole, F.col(text)).otherwise(left))
+    parts = (F.col(f"{gone_}.lines"), F.col(f"{gone_}.runs.start"), F.col(f"{gone_}.runs.length"))
+    # Only texts that lose something go to Python.
+    left = _cut()(F.when(~whole, F.col(f"`{text}`").cast("string")), *parts)
+    both = both.withColumn(text_, left).withColumn(text_, F.when(whole, F.col(f"`{text}`")).otherwise(F.col(text_)))
     both = both.where(whole | F.col(text_).rlike(r"[^\x20\x09-\x0D]"))
     out = both.withColumn(text, F.col(text_))
     if chars:

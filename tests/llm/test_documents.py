@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 import xxhash
 
-from scrivane.llm import bpe, packing, quality, simhash, substring, token_cache, vocabulary
+from scrivane.llm import bpe, packing, quality, runs, simhash, substring, token_cache, vocabulary
 from scrivane.llm.common import roots, scratch, table
 
 from .conftest import CLASHES, DOCS
@@ -116,7 +116,7 @@ def test_substring_equals_brute_force(spark, odd, none, reread, monkeypatch):
         lines.insert(r.randint(0, 2), " ".join(w))
         rows.append((d, "\n".join(lines)))
     df = reread(rows, "doc_id long, text string", 3)
-    found = substring.repeated_passages(df).collect()
+    found = [x for x in substring.repeated_passages(df).collect() if x.kind == "paragraph"]
     assert {(x.id, x.para): (x.keeper, x.keeper_para) for x in found} == brute_passages(rows)
     texts = dict(rows)
     for x in found:
@@ -133,6 +133,54 @@ def test_substring_equals_brute_force(spark, odd, none, reread, monkeypatch):
     assert by_id[2][0].text == "   \n\t "
 
 
+def brute_runs(texts, least=50):
+    """Windows of least words found twice, as (doc, start, end), of texts of one segment each."""
+    places = {}
+    for d, text in texts.items():
+        spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        for k in range(len(spans) - least + 1):
+            places.setdefault(tuple(text[a:b] for a, b in spans[k : k + least]), []).append((d, spans[k][0], spans[k + least - 1][1]))
+    return [sorted(p) for p in places.values() if len(p) > 1]
+
+
+def test_runs_inside_unlike_paragraphs(spark, reread):
+    passages = [prose(500 + k, n) for k, n in enumerate((50, 51, 68, 120, 49))]
+    rows = []
+    for d in range(40):
+        host = prose(3000 + d, 200).split()
+        at = 7 + 4 * d
+        rows.append((d, " ".join([*host[:at], passages[d % 5], *host[at:]]).replace(" ", "\n", d % 3)))
+    texts = dict(rows)
+    found = [x for x in substring.repeated_passages(reread(rows, "doc_id long, text string", 3)).collect() if x.kind == "run"]
+    windows = brute_runs(texts)
+    assert {x.id for x in found} == {d for p in windows for d, _, _ in p} == {d for d in texts if d % 5 < 4}
+    for removed in (True, False):
+        mine = {(x.id, k) for x in found if x.removed == removed for k in range(x.start, x.start + x.length)}
+        assert mine == {(d, k) for p in windows for d, a, e in (p[1:] if removed else p[:1]) for k in range(a, e)}
+    kept = {x.doc_id: x.text for x in substring.drop_repeated_passages(reread(rows, "doc_id long, text string", 3)).collect()}
+    assert not brute_runs(kept) and all(kept[d] == texts[d] for d in (0, 1, 2, 3, *range(4, 40, 5)))
+    for d, text in texts.items():
+        words = [w for w in text.split() if w]
+        at = 7 + 4 * d
+        n = len(passages[d % 5].split()) if d > 3 and d % 5 < 4 else 0
+        assert kept[d].split() == words[:at] + words[at + n :]
+
+
+def test_runs_of_periodic_and_odd_texts(spark, reread):
+    rows = [(1, "a b c " * 40), (1, "a b c " * 40), (None, "x\u2003y " * 60), (2, ""), (3, None), (4, "\n \n")]
+    found = substring.repeated_passages(reread(rows, "doc_id long, text string", 1))
+    assert {x.id for x in found.collect()} == {1, None}
+
+
+def test_a_cut_leaves_the_rest():
+    text = "one two three\nfour five\nsix"
+    assert runs.without(text, {1}, []) == "one two three\nsix"
+    assert runs.without(text, set(), [(4, 3)]) == "one three\nfour five\nsix"
+    assert runs.without(text, set(), [(8, 10)]) == "one two\nfive\nsix"
+    assert runs.without(text, {0, 2}, [(14, 9)]) == ""
+    assert runs.without(text, set(), [(0, 7), (4, 9)]) == "four five\nsix"
+
+
 def test_bands_reach_their_recall():
     bands, rows = substring.tune_bands()
     assert 1 - (1 - substring.SIMILAR**rows) ** bands >= substring.RECALL
