@@ -79,7 +79,14 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def row_key(df: DataFrame, name: str) -> DataFrame:
-    """Adds a key that tells apart even equal rows. The same reread table gives the same keys."""
+    """Adds a key that tells apart even equal rows. The same reread table gives the same keys.
+
+    Keys follow the scan's partitions, whose number Spark takes from the cores alive when a job is planned; it is fixed
+    here for the session, if it isn't yet, so that a lost executor between two jobs changes no key.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
