@@ -10,8 +10,9 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50  # words; percent of them
 #: Histograms of shorter texts say too little; such texts pass the test concerned.
 LEAST_CHARS, LEAST_COUNTED = 200, 100
-#: Jensen-Shannon distances (base 2, 0 to 1) beyond which a text is not prose of its language.
-MOST_CLASSES, MOST_COMMON = 0.2, 0.5
+#: Jensen-Shannon distances (base 2, 0 to 1) beyond which a text is not prose of its language. A text without any of the
+#: common words is at 0.331 from them; LEAST_COUNTED words keep the noise of a sample of the language below MOST_COMMON.
+MOST_CLASSES, MOST_COMMON = 0.2, 0.26
 
 # Shares of character classes in prose, and common words of each language by rank.
 CLASSES = {"lower": 0.8, "upper": 0.02, "space": 0.15, "digit": 0.003, "punctuation": 0.025, "other": 0.002}

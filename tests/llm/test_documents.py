@@ -215,6 +215,23 @@ def test_quality(spark, odd, none, reread):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+def test_quality_of_other_languages(spark, reread):
+    r = random.Random(3)
+    shares = quality.common_shares()
+
+    def text(lang: str, words: int) -> str:
+        common = r.choices([*quality.COMMON[lang].split(), None], [*shares, 1 - sum(shares)], k=words)
+        return ". ".join(" ".join(w or prose(r.randrange(10**6), 1) for w in common[k : k + 12]).capitalize() for k in range(0, words, 12)) + "."
+
+    long = {lang: text(lang, 1200) for lang in quality.COMMON}
+    rows = [(f"{a} as {b}", t, b) for a, t in long.items() for b in quality.COMMON] + [("none", text("en", 1200).translate({ord("e"): "oe", ord("o"): "ae", ord("a"): "ue", ord("i"): "ou"}), "en")]
+    rows += [(f"short {k}", text("en", 110), "en") for k in range(40)]
+    got = {x.doc_id: x for x in quality.quality(reread(rows, "doc_id string, text string, lang string")).collect()}
+    assert not any(x.base_failed for x in got.values()) and all(x.class_distance <= quality.MOST_CLASSES for x in got.values())
+    close = {"fr as es", "es as fr"}  # they share four of their commonest words
+    assert {k for k, x in got.items() if not x.kept} - close == {f"{a} as {b}" for a in long for b in long if a != b} - close | {"none"}
+
+
 def test_packing(spark, odd, none):
     def sound(lengths, where, content, capacities):
         used = Counter()
