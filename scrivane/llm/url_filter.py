@@ -16,9 +16,10 @@ from scrivane.llm.common import by_value
 #: (verdict, host, path). A rule fits its host and all subdomains, if the path starts with its path; the longest wins. Few rules: they are part of the plan.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-# Labelled hosts and paths that the classifier is fitted on, all of them.
+# Labelled hosts and paths that the classifier is fitted on, all of them. Written by hand; none is a host of the tables,
+# though words recur there (casino, pills, farm), as a vocabulary of spam is a small one.
 BLOCK = (
-    "cheap-pills free-bets casino-win spam-farm ads-track adult-x casino-online/bonus-spins online-poker/free-chips best-casino-slots/jackpot sports-bets/odds-win cheap-viagra/buy-pills discount-pills/no-prescription buy-meds-cheap "
+    "casino-online/bonus-spins online-poker/free-chips best-casino-slots/jackpot sports-bets/odds-win cheap-viagra/buy-pills discount-pills/no-prescription buy-meds-cheap "
     "adult-video/xxx free-porn/xxx-tube nude-cams/live-sex sex-dating/adult hot-girls-xxx escort-girls replica-watches/cheap fast-loans/payday-cash payday-loans-cheap win-prize/free-gift lottery-win/claim click-farm/ads "
     "ad-tracker/pixel popup-ads/click track-click/banner spam-links/seo malware-download/crack warez-crack/keygen torrent-crack/free hack-cheats/free-coins get-rich-quick/earn-money"
 )

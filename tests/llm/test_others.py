@@ -129,6 +129,14 @@ def test_viterbi_and_held_out_urls(monkeypatch):
     assert right / sum(map(len, sides.values())) > 0.7
 
 
+def test_labelled_urls_are_not_those_of_the_tables():
+    planted = "cheap-pills free-bets casino-win spam-farm ads-track adult-x".split()
+    examples = {x.partition("/")[0] for x in (url_filter.BLOCK + " " + url_filter.ALLOW).split()}
+    assert not examples & set(planted)
+    s = url_filter.Scorer({})
+    assert all(s.score(f"www.{x}.example.org", "/en/5") > 0 for x in planted)  # by their words, from other names
+
+
 def test_chat(spark, reread):
     calls = [
         (1, "a", "reply", '{"turn":1,"prompt":"x"}', None, 0), (1, "b", "reply", '{"turn":"z","prompt":"x","q":1}', "a", 0), (1, "c", "nope", "{}", "b", 0), (1, "d", "reply", "[1", "c", 0), (1, "d", "reply", "[1", "c", 0), (2, "p", "reply", '{"prompt":"é\\n","turn":3}', "q", 0),
