@@ -137,6 +137,24 @@ def test_labelled_urls_are_not_those_of_the_tables():
     assert all(s.score(f"www.{x}.example.org", "/en/5") > 0 for x in planted)  # by their words, from other names
 
 
+@pytest.mark.parametrize("most", [url_filter.BROADCAST_ROWS, -1])
+def test_url_words_grow_with_the_input(spark, reread, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", most)
+    # No labelled word: zorblat, quimsy and artisan (not art and isan) are words only as other hosts have them.
+    urls = ["http://zorblatcasino.example.com/a", "http://zorblat.example.com/quimsy", "http://zorblat.b.example.com/", "http://quimsy.c.example.com/", "http://adultquimsypills.example.com/", "http://artisanzorblat.example.com/", "no scheme", None]
+    urls += ["http://" + "ab" * 5000 + ".com/casinozorblat", "http://zorblat.example.com/quimsy", "http://artisan.d.example.com/"]
+    df = reread([(k, u) for k, u in enumerate(urls)], "page_id long, url string", 3)
+    got = {x.page_id: x for x in url_filter.judge(df).collect()}
+    assert len(got) == len(urls)
+    s = url_filter.Scorer({"zorblat": 2, "quimsy": 2, "zorblatcasino": 1, "adultquimsypills": 1, "a": 1, "b": 1, "c": 1, "d": 1, "artisan": 1, "example": 7, "artisanzorblat": 1, "casinozorblat": 1, "ab" * 5000: 1})
+    assert s.split("zorblatcasino") == ["zorblat", "casino"] and s.split("quimsyzorblat") == ["quimsy", "zorblat"] and url_filter.Scorer({}).split("quimsyzorblat") == ["quimsyzorblat"]
+    assert s.split("artisanzorblat") == ["artisan", "zorblat"] and url_filter.Scorer({}).split("artisanzorblat") != ["artisan", "zorblat"]
+    for k, u in enumerate(urls):
+        host, path = (u or "").partition("://")[2].partition("/")[::2]
+        assert got[k].score == pytest.approx(s.score(host, "/" + path if host else ""))
+    assert [got[k].verdict for k in (0, 4, 5)] == ["block", "block", "allow"]
+
+
 def test_chat(spark, reread):
     calls = [
         (1, "a", "reply", '{"turn":1,"prompt":"x"}', None, 0), (1, "b", "reply", '{"turn":"z","prompt":"x","q":1}', "a", 0), (1, "c", "nope", "{}", "b", 0), (1, "d", "reply", "[1", "c", 0), (1, "d", "reply", "[1", "c", 0), (2, "p", "reply", '{"prompt":"é\\n","turn":3}', "q", 0),
