@@ -83,6 +83,16 @@ def test_constant_nodes_are_template(spark, reread, monkeypatch, most):
     assert {x.text for x in got} == {f"page {k}\n\nText of page {k}." for k in range(12)}
 
 
+def test_copies_of_a_page_are_no_template(spark, reread):
+    page = '<body><div class="top"><p>All rights are ours.</p></div><div class="body{1}"><h2>{0}</h2><p>Text of {0}.</p></div></body>'
+    rows = [(k, f"http://copies.example.com/{k}", page.format("the only page", "")) for k in range(6)]
+    rows += [(10 + k, f"http://both.example.com/{k}", page.format(f"page {k}", "")) for k in range(8)] + [(20 + k, f"http://both.example.com/c{k}", page.format("copied page", " tail")) for k in range(6)]
+    got = {x.page_id: x.text for x in html_extract.main_text(reread(rows, "page_id long, url string, html string", 4)).collect()}
+    assert {got[k] for k in range(6)} == {"All rights are ours.\n\nthe only page\n\nText of the only page."}
+    assert {got[20 + k] for k in range(6)} == {"copied page\n\nText of copied page."}
+    assert [got[10 + k] for k in range(8)] == [f"page {k}\n\nText of page {k}." for k in range(8)]
+
+
 def test_left_out_parts():
     page = """<body><header>Site</header><div class="cookie-notice">C</div><main><h1>T</h1><p>a &eacute;&#233; <i>b</i>c</p><aside>no</aside><form><p>f</p></form><table><tr><td>1<td>2</table>
     <ul><li>x<li>y</ul><section id="comments"><p>no</p></section><p hidden>no</p><p style="display: none">no</p><!-- <p>no</p> --></main><div class="sidebar"><p>no</p></div><script>if (a<b) x="</p>"</script><footer>z"""
