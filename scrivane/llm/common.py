@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +15,11 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only if it has been counted and has no more rows than this (ids and a few numbers each).
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only if it has been measured and has no more rows and bytes than this.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
 
 _own: dict[str, str] = {}
+_made: list[list[str]] = []
 
 
 def by_value(module: str) -> None:
@@ -29,12 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it; a temporary one where that is unset (tests)."""
+    """The folder that all executors share, as spark.checkpoint.dir names it. Only a local session may do without: it gets a temporary one."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     named = named or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if sc.applicationId not in _own:
         _own[sc.applicationId] = tempfile.mkdtemp(prefix="scrivane-")
         sc.setCheckpointDir(_own[sc.applicationId])
@@ -55,19 +60,46 @@ def clean(spark: SparkSession, path: str | None = None) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def materialise(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, tag: str, path: str | None = None, lasting: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there and a lost executor costs nothing that was written.
 
-    Such tables stay until clean() or until the folder goes, as results read them when they are used.
+    Such tables stay until the tidy() around goes, but lasting ones, which the one around that one keeps; without any
+    until clean() or until the folder goes, as results read them when they are used.
     """
     path = path or scratch(df.sparkSession, tag)
+    if len(_made) > lasting:
+        _made[-1 - lasting].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, a written table, marked for broadcast if it has been counted to have few rows; else unchanged, for a shuffled join."""
-    return F.broadcast(df) if df.count() <= rows else df
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that have been materialised within, but for lasting ones. What leaves it must read those only."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            clean(spark, path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def small(df: DataFrame, rows: int | None = None, most: int | None = None) -> DataFrame:
+    """df, a written table, marked for broadcast if it has been measured to have few rows and bytes; else unchanged, for a shuffled join."""
+    size = F.lit(8 * len(df.columns))
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        if f.dataType.typeName() in ("string", "binary"):
+            size += F.coalesce(F.octet_length(c), F.lit(0))
+        elif f.dataType.typeName() in ("array", "map"):
+            size += (4 if f.dataType.simpleString() == "array<int>" else 32) * F.greatest(F.size(c), F.lit(0))
+    n, held = df.agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if n <= (BROADCAST_ROWS if rows is None else rows) and held <= (BROADCAST_BYTES if most is None else most) else df
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -79,7 +111,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def row_key(df: DataFrame, name: str) -> DataFrame:
-    """Adds a key that tells apart even equal rows. The same reread table gives the same keys.
+    """Adds a key that tells apart even equal rows. The same reread table gives the same keys; other plans raise ValueError.
 
     Keys follow the scan's partitions, whose number Spark takes from the cores alive when a job is planned; it is fixed
     here for the session, if it isn't yet, so that a lost executor between two jobs changes no key.
@@ -87,6 +119,13 @@ def row_key(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    todo = [df._jdf.queryExecution().analyzed()]
+    while todo:
+        node = todo.pop()
+        kind, children = node.nodeName(), node.children()
+        if not re.match("Project|Filter|SubqueryAlias|Relation|LogicalRelation|LocalRelation|View", kind):
+            raise ValueError(f"rows of a plan with {kind} have no lasting keys; write it and read it again")
+        todo += [children.apply(k) for k in range(children.size())]
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
