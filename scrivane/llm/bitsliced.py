@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -14,16 +16,24 @@ from scrivane.llm.common import by_value, materialise
 SCALE, TOP = 256, 5
 #: Rows of a block of the index at most; queries of a group on average at most; groups that small query sets are cut into.
 BLOCK, GROUP, GROUPS = 65536, 16384, 16
-#: Larger components would let a score outgrow a long.
-MOST = 2.0**19
+#: Components of this size or more have many slices; rows with such ones stand in blocks of their own, of up to WIDE_BLOCK rows.
+WIDE, WIDE_BLOCK = 2.0**40, 512
+#: Blocks that one cell of the grid holds at most, so that queries are copied less often, and cells that there are before they do.
+SPAN, CELLS = 8, 512
 _WORD = np.uint64
 
 
-def quantised(df: DataFrame, vector: str, id: str) -> DataFrame:
-    """(id, v): floor(SCALE * x) of each component as a double, without rows that take no part."""
+def sound_rows(df: DataFrame, vector: str, id: str) -> DataFrame:
+    """(id, x): the vectors as doubles, without rows that take no part."""
     own = df.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("x"))
-    sound = F.col("id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < MOST))
-    return own.where(sound).select("id", F.transform("x", lambda x: F.floor(x * F.lit(float(SCALE)))).alias("v"))
+    return own.where(F.col("id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+
+
+def quantised(x: np.ndarray) -> np.ndarray:
+    """floor(SCALE * x), in Python's integers where 64 bits might not hold it."""
+    if not x.size or np.abs(x).max() < WIDE:
+        return np.floor(x * SCALE).astype(np.int64)
+    return np.array([math.floor(Fraction(v) * SCALE) for v in x.ravel().tolist()], object).reshape(x.shape)
 
 
 def build(ids: np.ndarray, values: np.ndarray) -> dict:
@@ -31,17 +41,17 @@ def build(ids: np.ndarray, values: np.ndarray) -> dict:
     order = np.argsort(ids, kind="stable")
     ids, values = ids[order], values[order]
     base = values.min(axis=0) if len(values) else np.zeros(values.shape[1], np.int64)
-    above = (values - base).astype(np.uint64)
+    above = values - base
     widths = np.array([int(m).bit_length() for m in above.max(axis=0)], np.int32)
     words = -(-len(ids) // 64)
     slices = np.zeros((int(widths.sum()), words * 8), np.uint8)
     k = 0
-    for d, w in enumerate(widths):
+    for d, w in enumerate(widths.tolist()):
         for bit in range(w):
-            packed = np.packbits((above[:, d] >> _WORD(bit) & _WORD(1)).astype(np.uint8), bitorder="little")
+            packed = np.packbits((above[:, d] >> bit & 1).astype(np.uint8), bitorder="little")
             slices[k, : len(packed)] = packed
             k += 1
-    return {"ids": ids, "base": base.astype(np.int64), "widths": widths, "slices": slices.view(_WORD)}
+    return {"ids": ids, "base": [int(b) for b in base], "widths": widths, "slices": slices.view(_WORD)}
 
 
 def digits(q: int) -> list[tuple[int, int]]:
@@ -64,7 +74,7 @@ def weighted_sum(block: dict, query: np.ndarray) -> tuple[list[np.ndarray | None
     -u = (2^w - 1 - u) - (2^w - 1). Slices of one weight go through carry-save adders, three to one and a carry.
     """
     n = min(len(query), len(block["widths"]))
-    constant = int((query[:n].astype(object) * block["base"][:n].astype(object)).sum()) if n else 0
+    constant = sum(int(q) * b for q, b in zip(query[:n], block["base"][:n], strict=True))
     first = np.concatenate([[0], np.cumsum(block["widths"])])
     rows: dict[int, list[int]] = {}
     flips: dict[int, list[bool]] = {}
@@ -135,38 +145,47 @@ def top(block: dict, query: np.ndarray, own_id: int, k: int = TOP) -> tuple[np.n
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def built() -> pa.RecordBatch:
-        width = max(map(len, held))
-        values = np.zeros((len(held), width), np.int64)
+    def built(rows: tuple[list, list]) -> pa.RecordBatch:
+        ids, held = rows
+        x = np.zeros((len(held), max(map(len, held))))
         for r, v in enumerate(held):
-            values[r, : len(v)] = v
-        b = build(np.array(ids, np.int64), values)
-        cells = [b["ids"].tobytes(), b["base"].tobytes(), b["widths"].tobytes(), b["slices"].tobytes()]
-        return pa.RecordBatch.from_arrays([pa.array([ids[0]]), *(pa.array([c], pa.binary()) for c in cells)], ["block", "ids", "base", "widths", "slices"])
-
-    ids, held = [], []
+            x[r, : len(v)] = v
+        b = build(np.array(ids, np.int64), quantised(x))
+        cells = [b["ids"].tobytes(), ",".join(map(str, b["base"])).encode(), b["widths"].tobytes(), b["slices"].tobytes()]
+        found = pa.RecordBatch.from_arrays([pa.array([ids[0]]), *(pa.array([c], pa.binary()) for c in cells)], ["block", "ids", "base", "widths", "slices"])
+        ids.clear(), held.clear()
+        return found
+
+    usual, wide = ([], []), ([], [])
     for batch in batches:
         for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids.append(i), held.append(v.values.to_numpy())
-            if len(ids) == BLOCK:
-                yield built()
-                ids, held = [], []
-    if ids:
-        yield built()
+            x = v.values.to_numpy()
+            rows, most = (wide, WIDE_BLOCK) if x.size and np.abs(x).max() >= WIDE else (usual, BLOCK)
+            rows[0].append(i), rows[1].append(x)
+            if len(rows[0]) == most:
+                yield built(rows)
+    for rows in (usual, wide):
+        if rows[0]:
+            yield built(rows)
 
 
 def _search(k: int):
     def run(blocks: pa.Table, queries: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
-        asked = [(i, np.array(v, np.int64)) for i, v in zip(queries.column("query_id").to_pylist(), queries.column("q").to_pylist(), strict=True)]
-        for r in blocks.to_pylist():
+        asked = [(i, quantised(np.array(v, np.float64))) for i, v in zip(queries.column("query_id").to_pylist(), queries.column("q").to_pylist(), strict=True)]
+        for at in range(blocks.num_rows):
+            r = blocks.slice(at, 1).to_pylist()[0]
             ids = np.frombuffer(r["ids"], np.int64)
-            b = {"ids": ids, "base": np.frombuffer(r["base"], np.int64), "widths": np.frombuffer(r["widths"], np.int32)}
+            b = {"ids": ids, "base": [int(x) for x in r["base"].split(b",") if x], "widths": np.frombuffer(r["widths"], np.int32)}
             b["slices"] = np.frombuffer(r["slices"], _WORD).reshape(-1, -(-len(ids) // 64))
             for i, q in asked:
                 found, scores = top(b, q, i, k)
                 out[0].extend([i] * len(scores)), out[1].extend(found.tolist()), out[2].extend(scores)
-        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "vec_id", "score"), out, strict=True)})
+        if max(out[2], default=0) >= 2**63:
+            raise ValueError("a score among the highest doesn't fit a long")
+        # Too low ones go on as nulls: they matter only if a query has too few others.
+        scores = [s if s >= -(2**63) else None for s in out[2]]
+        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "vec_id", "score"), (out[0], out[1], scores), strict=True)})
 
     return run
 
@@ -174,26 +193,29 @@ def _search(k: int):
 def top_k(df: DataFrame, vector: str = "embedding", id: str = "vec_id", every: int = 50, k: int = TOP) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of highest integer inner product for each row whose id is divisible by every.
 
-    The index is built where the rows are read, in blocks of up to BLOCK rows. Blocks and groups of queries are dealt
-    onto a grid, whose cells are searched each on its own; only k rows a query and block are shuffled for the last ranking.
+    The index is built where the rows are read, in blocks of up to BLOCK rows. Blocks (SPAN together, if there are very
+    many) and groups of queries are dealt onto a grid, whose cells are searched each on its own; only k rows a query and
+    block are shuffled for the last ranking.
 
-    Rows with a null id, a null vector, or a null, non-finite or huge component (MOST or more) take no part. A query's own are
-    all rows of its id; of several query rows of one id the smallest vector asks. Repeated rows are candidates
-    each. Shorter vectors count as filled up with zeros. An empty table gives an empty result; other columns are
-    ignored, whatever their names.
+    Rows with a null id, a null vector, or a null or non-finite component take no part; all others do, however large. A
+    score that is returned and doesn't fit a long is an error. A query's own are all rows of its id; of several query
+    rows of one id the smallest vector asks. Repeated rows are candidates each. Shorter vectors count as filled up with
+    zeros. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
-    own = quantised(df, vector, id)
+    own = sound_rows(df, vector, id)
     index = materialise(own.mapInArrow(_blocks, "block long, ids binary, base binary, widths binary, slices binary"), "index")
-    asked = own.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("q")).withColumnRenamed("id", "query_id")
+    asked = own.where(F.col("id") % every == 0).groupBy("id").agg(F.min("x").alias("q")).withColumnRenamed("id", "query_id")
     asked = materialise(asked, "asked")
     n_blocks, n_asked = max(1, index.count()), asked.count()
     groups = max(-(-n_asked // GROUP), min(GROUPS, -(-n_asked // 16)), 1)
-    left = index.withColumn("row", F.pmod(F.xxhash64("block"), F.lit(n_blocks))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("col", F.col("col").cast("long"))
-    right = asked.withColumn("col", F.pmod(F.xxhash64("query_id"), F.lit(groups))).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("row", F.col("row").cast("long")).withColumn("col", F.col("col").cast("long"))
-    left = left.withColumn("row", F.col("row").cast("long"))
+    rows = -(-n_blocks // max(1, min(SPAN, n_blocks * groups // CELLS)))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = index.withColumn("row", F.pmod(F.xxhash64("block"), F.lit(rows))).withColumn("col", each(groups))
+    right = asked.withColumn("col", F.pmod(F.xxhash64("query_id"), F.lit(groups))).withColumn("row", each(rows))
     found = left.groupBy("row", "col").cogroup(right.groupBy("row", "col")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "vec_id"))
+    score = F.coalesce("score", F.raise_error(F.lit("a score among the highest doesn't fit a long")).cast("long"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 by_value(__name__)
