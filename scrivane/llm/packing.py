@@ -79,16 +79,18 @@ def _packed(capacities: tuple[int, ...]):
 def pack_documents(df: DataFrame, text: str = "text", id: str = "doc_id", length: Column | None = None, capacities: tuple[int, ...] = CAPACITIES, shard: int = SHARD) -> DataFrame:
     """One row for each piece of a document: (doc_id, row, piece, start, length, bin_id, capacity, filled, offset).
 
-    length: tokens of a document with its end mark; by default its UTF-8 bytes and one. A document longer than the
+    length: tokens of a document with its end mark, as operator 8 counts them for one; by default its UTF-8 bytes and one, the
+    tokens of a byte vocabulary. A length that is null or below 1 counts as 1, the end mark. A document longer than the
     largest capacity is cut into pieces of that capacity and the rest; start is where a piece begins in it. Nothing is
     dropped. bin_id, offset and capacity say where a piece lies, filled how much of the bin is used.
 
     Pieces are dealt at random into shards of shard documents on average, each packed on its own; a shard's loss is at most
-    a few bins not full, which are downsized. Null texts are empty documents (their end mark only), repeated rows are
+    a few bins not full, which are downsized. Of equal lengths the first row and piece is packed first, of bins with equal
+    room it goes into the one opened first, and of ways to open bins that cost the same the first counts. Null texts are empty documents (their end mark only), repeated rows are
     packed each, an empty table gives an empty result, other columns are ignored, whatever their names. df must be a reread table.
     """
     most = max(capacities)
-    size = (F.octet_length(text_of(text)) + 1 if length is None else length).cast("long")
+    size = F.greatest(F.coalesce((F.octet_length(text_of(text)) + 1 if length is None else length).cast("long"), F.lit(1)), F.lit(1))
     keyed = row_key(df.select(F.col(f"`{id}`").alias("doc_id"), size.alias("total")), "row")
     pieces = keyed.select("doc_id", "row", "total", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("total") / most) - 1, F.lit(0)).cast("int"))).alias("piece"))
     start = F.col("piece").cast("long") * most
