@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from importlib import metadata
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrivane.llm import vocabulary
-from scrivane.llm.common import by_value, scratch, text_of
+from scrivane.llm.common import by_value, exists, materialise, scratch, small, text_of
 
 LIMIT = 1024
 #: Bytes of text that a worker encodes at once.
@@ -35,6 +35,12 @@ def counter(file: str):
     return lambda texts: [len(x) for x in own.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def version_of(file: str) -> str:
+    """What counts depend on besides the text: the tokenizer's file and the library that reads it."""
+    library = "sentencepiece" if file.endswith(".model") else "tokenizers"
+    return f"{vocabulary.digest(file)} {library} {metadata.version(library)}"
+
+
 def _counts(file: str, version: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(file)
@@ -55,10 +61,7 @@ def _counts(file: str, version: str):
 def read_cache(df: DataFrame, path: str, version: str) -> DataFrame:
     """The stored (digest, n_tokens) of a tokenizer version; empty where nothing is stored yet."""
     spark = df.sparkSession
-    try:
-        stored = spark.read.schema(_SCHEMA).parquet(path)
-    except AnalysisException:
-        stored = spark.createDataFrame([], _SCHEMA)
+    stored = spark.read.schema(_SCHEMA).parquet(path) if exists(spark, path) else spark.createDataFrame([], _SCHEMA)
     # A call that was broken off or ran twice may have stored a digest twice.
     return stored.where(F.col("tokenizer") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
 
@@ -67,22 +70,22 @@ def count_tokens(df: DataFrame, text: str = "text", id: str = "doc_id", file: st
     """One row for each row of df: (id, n_bytes, n_tokens, over_limit).
 
     cache: a folder in a store that all executors share, with the counts of earlier calls by SHA-256 of the text (nulls
-    as empty texts; tokenizers tell all other texts apart, so nothing else is normalised) and by version of the tokenizer file.
+    as empty texts; tokenizers tell all other texts apart, so nothing else is normalised) and by version of the tokenizer's file and library.
     What it lacks is brought down to distinct texts, before and after one shuffle by digest, encoded, and appended.
     Without cache a new, empty one is used. Then the table's digests, without its texts, are joined to the stored counts;
     Spark splits that join where a digest is very frequent.
 
-    Null texts are empty (no tokens); an empty table gives an empty result; other columns are ignored, whatever their names.
+    Null texts are empty (no tokens); very long ones are encoded whole; an empty table gives an empty result; other columns are ignored, whatever their names.
     """
     file = file or vocabulary.path("byte_bpe_50k.json")
-    cache, version = cache or scratch(df.sparkSession, "token-cache"), vocabulary.digest(file)
+    cache, version = cache or scratch(df.sparkSession, "token-cache"), version_of(file)
     own = text_of(text)
     digests = df.select(F.unhex(F.sha2(own, 256)).alias("digest"), own.alias("text"))
     distinct = digests.groupBy("digest").agg(F.first("text").alias("text"))
     misses = distinct.join(read_cache(df, cache, version), "digest", "left_anti")
     misses.mapInArrow(_counts(file, version), _SCHEMA).write.mode("append").parquet(cache)
     rows = df.select(F.col(f"`{id}`").alias("_id"), F.octet_length(own).cast("long").alias("n_bytes"), F.unhex(F.sha2(own, 256)).alias("digest"))
-    found = rows.join(read_cache(df, cache, version), "digest")
+    found = rows.join(small(materialise(read_cache(df, cache, version), "counts")), "digest")
     return found.select(F.col("_id").alias(id), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
