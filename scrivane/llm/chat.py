@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scrivane.llm.common import materialise
+from scrivane.llm.common import materialise, tidy
 
 #: Tools by name: each argument's (name, JSON type, required).
 SCHEMAS = {"reply": (("prompt", "string", True), ("turn", "integer", True))}
@@ -14,26 +15,51 @@ TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|DECIM
 
 
 def depths(calls: DataFrame) -> DataFrame:
-    """(conv, call, depth): how many calls must come before each along (conv, call, after); null on and behind cycles.
+    """(conv, call, depth): the most calls that stand in a row before each, along (conv, call, after); null on and behind cycles.
 
-    Each round doubles the stretch that a call's pointer spans, so rounds grow with the logarithm of the longest chain. A
-    call after one that doesn't exist, or after null, is a root.
+    A call after one that doesn't exist, or after none, is a root. Calls with one predecessor are followed by pointers whose
+    stretch each round doubles, up to a root or a call with several predecessors; so rounds grow with the logarithm of the
+    longest chain. Only calls with several predecessors are then taken in order, in as many rounds as stand in a row.
     """
-    nodes = calls.select("conv", "call").distinct()
-    known = nodes.select("conv", F.col("call").alias("after"), F.lit(True).alias("there"))
-    first = calls.groupBy("conv", "call").agg(F.min("after").alias("after")).join(known, ["conv", "after"], "left")
-    now = first.select("conv", "call", F.when(F.col("there"), F.col("after")).alias("up"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("depth"))
+    with tidy(calls.sparkSession):
+        return materialise(_depths(calls), "depths", lasting=True)
+
+
+def _depths(calls: DataFrame) -> DataFrame:
+    key = ["conv", "call"]
+    nodes = calls.select(*key).distinct()
+    edges = calls.where(F.col("after").isNotNull()).select(*key, "after").distinct()
+    edges = materialise(edges.join(nodes.withColumnRenamed("call", "after"), ["conv", "after"], "left_semi").select(*key, "after"), "edges")
+    before = edges.groupBy(*key).agg(F.count("*").alias("n"), F.min("after").alias("after"))
+    single = F.col("n") == 1
+    now = nodes.join(before, key, "left").select(*key, F.when(single, F.col("after")).otherwise(F.col("call")).alias("at"), F.when(single, 1).otherwise(0).cast("long").alias("far"), F.coalesce(~single, F.lit(True)).alias("ends"), F.coalesce("n", F.lit(0)).alias("n"))
     now = materialise(now, "depths")
-    n, left = now.agg(F.count("*"), F.count("up")).first()
-    # After so many rounds a pointer spans more calls than there are; what still has one is on a cycle or behind one.
+    n, left = now.agg(F.count("*"), F.count_if(~F.col("ends"))).first()
+    # After so many rounds a pointer spans more calls than there are; what hasn't ended then is on a cycle or behind one.
     for _ in range(n.bit_length()):
         if not left:
             break
-        higher = now.select("conv", F.col("call").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        step = now.join(higher, ["conv", "up"], "left").select("conv", "call", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        further = now.select("conv", F.col("call").alias("at"), F.col("at").alias("next"), F.col("far").alias("more"), F.col("ends").alias("done"))
+        step = now.join(further, ["conv", "at"]).select(*key, F.col("next").alias("at"), (F.col("far") + F.col("more")).alias("far"), F.col("done").alias("ends"), "n")
         now = materialise(step, "depths")
-        left = now.agg(F.count("up")).first()[0]
-    return now.select("conv", "call", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+        left = now.agg(F.count_if(~F.col("ends"))).first()[0]
+    found = now.where("call = at and n = 0").select(*key, F.lit(0).cast("long").alias("depth"))
+    joins = materialise(now.where("n > 1").select(*key), "joins")
+    waiting, left = joins, joins.count()
+    found = materialise(found, "found") if left else found
+    of = now.where("ends").select("conv", F.col("call").alias("after"), "at", (F.col("far") + 1).alias("far"))
+    ways = materialise(edges.join(joins, key, "left_semi").join(of, ["conv", "after"], "left").select(*key, "at", "far"), "ways") if left else None
+    while left:  # a call's turn comes when all calls that it waits for are known
+        known = found.select("conv", F.col("call").alias("at"), "depth")
+        ready = ways.join(waiting, key, "left_semi").join(known, ["conv", "at"], "left").groupBy(*key).agg(F.bool_and(F.col("depth").isNotNull()).alias("all"), F.max(F.col("depth") + F.col("far")).alias("depth"))
+        ready = materialise(ready.where("all").select(*key, "depth"), "ready")
+        more = ready.count()
+        if not more:
+            break
+        found, left = materialise(found.unionByName(ready), "found"), left - more
+        waiting = materialise(waiting.join(ready, key, "left_anti"), "waiting")
+    ends = found.select("conv", F.col("call").alias("at"), "depth")
+    return now.join(ends, ["conv", "at"], "left").select(*key, F.when(F.col("ends"), F.col("depth") + F.col("far")).alias("depth"))
 
 
 def faults(name: Column, arguments: Column, parsed: Column, schemas: dict) -> Column:
@@ -54,28 +80,45 @@ def faults(name: Column, arguments: Column, parsed: Column, schemas: dict) -> Co
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
-    """(conv_id, call_id, position, name, status, faults, json): one row for each call, and for each result without a call.
+    """(conv_id, call_id, position, name, status, faults, json): one row for each call and result that belong together, and for
+    each of either that stands alone. Nothing is lost.
 
-    calls: conv_id, call_id, name, arguments (JSON text), after (the call_id that must come first, or null). results:
-    conv_id, call_id, content. Both are brought down to one row an identifier (smallest values; n_calls and n_results in
-    the JSON count them) and hash-joined by conversation and identifier. position is the call's place in a topological order
-    of its conversation, null on cycles and for results without a call; calls of equal position are free of each other.
-    status: ok, invalid (faults say why), pending (valid without a result), or orphan. json has sorted keys and no white space.
+    calls: conv_id, call_id, name, arguments (JSON text), after (the call_id that must come first, an array of them, or
+    null). results: conv_id, call_id, content. Both are hash-joined by conversation and identifier. Equal rows of one
+    identifier are one, counted by n_calls and n_results in the JSON, which count all of the identifier. Of several calls the
+    smallest gets the results, one row for each; the others have the status repeated. position is the call's
+    place in a topological order of its conversation, null on cycles and for results without a call; calls of equal position
+    are free of each other. status: ok, invalid (faults say why), pending (valid without a result), repeated, or
+    orphan. json has sorted keys and no white space.
 
     Null identifiers link to nothing: such calls are pending or invalid, such results orphans, and they are kept row by
-    row. Empty tables give an empty result; other columns are ignored, whatever their names.
+    row. Very long contents are written whole. Empty tables give an empty result; other columns are ignored, whatever their names.
     """
+    key = ["conv", "call"]
+    many = isinstance(calls.schema["after"].dataType, T.ArrayType)
     calls = calls.select(F.col("conv_id").alias("conv"), F.col("call_id").alias("call"), "name", "arguments", "after")
     results = results.select(F.col("conv_id").alias("conv"), F.col("call_id").alias("call"), "content")
     named = F.col("conv").isNotNull() & F.col("call").isNotNull()
-    c = calls.where(named).groupBy("conv", "call").agg(F.min(F.struct("name", "arguments", "after")).alias("v"), F.count("*").alias("n_calls")).select("conv", "call", "v.name", "v.arguments", "n_calls")
-    r = results.where(named).groupBy("conv", "call").agg(F.min("content").alias("content"), F.count("*").alias("n_results"))
-    both = c.join(r.hint("shuffle_hash"), ["conv", "call"], "full").join(depths(calls.where(named)), ["conv", "call"], "left")
-    lone_calls = calls.where(~named).select("conv", "call", "name", "arguments", F.lit(1).cast("long").alias("n_calls"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("long").alias("n_results"), F.lit(0).cast("long").alias("depth"))
-    lone_results = results.where(~named).select("conv", "call", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), F.lit(None).cast("long").alias("n_calls"), "content", F.lit(1).cast("long").alias("n_results"), F.lit(None).cast("long").alias("depth"))
+    each = calls.where(named).groupBy(*key, "name", "arguments").agg(F.count("*").alias("m"))
+    firsts = each.groupBy(*key).agg(F.min(F.struct("name", "arguments")).alias("v"), F.sum("m").alias("n_calls"), F.count("*").alias("kinds"))
+    contents = results.where(named).groupBy(*key, "content").agg(F.count("*").alias("m"))
+    sums = contents.groupBy(*key).agg(F.sum("m").alias("n_results"))
+    before = calls.where(named).select(*key, F.explode_outer("after").alias("after") if many else "after")
+    c = materialise(firsts.join(sums, key, "left").join(depths(before), key), "calls")
+    head = [*key, F.col("v.name").alias("name"), F.col("v.arguments").alias("arguments"), "n_calls"]
+    none = lambda kind: F.lit(None).cast(kind)
+    linked = c.where("n_results is not null").join(contents, key).select(*head, "content", "n_results", "depth", F.lit(False).alias("again"))
+    alone = c.where("n_results is null").select(*head, none("string").alias("content"), "n_results", "depth", F.lit(False).alias("again"))
+    others = each.join(c.where("kinds > 1").select(*key, "v", "n_calls", "depth"), key).where(~(F.struct("name", "arguments").eqNullSafe(F.col("v"))))
+    others = others.select(*key, "name", "arguments", "n_calls", none("string").alias("content"), none("long").alias("n_results"), "depth", F.lit(True).alias("again"))
+    orphans = contents.join(c.select(*key), key, "left_anti").join(sums, key)
+    orphans = orphans.select(*key, none("string").alias("name"), none("string").alias("arguments"), none("long").alias("n_calls"), "content", "n_results", none("long").alias("depth"), F.lit(False).alias("again"))
+    lone_calls = calls.where(~named).select(*key, "name", "arguments", F.lit(1).cast("long").alias("n_calls"), none("string").alias("content"), none("long").alias("n_results"), F.lit(0).cast("long").alias("depth"), F.lit(False).alias("again"))
+    lone_results = results.where(~named).select(*key, none("string").alias("name"), none("string").alias("arguments"), none("long").alias("n_calls"), "content", F.lit(1).cast("long").alias("n_results"), none("long").alias("depth"), F.lit(False).alias("again"))
+    both = linked.unionByName(alone).unionByName(others).unionByName(orphans)
     rows = both.unionByName(lone_calls).unionByName(lone_results).withColumn("parsed", F.try_parse_json("arguments"))
     rows = rows.withColumn("faults", F.when(F.col("n_calls").isNotNull(), faults(F.col("name"), F.col("arguments"), F.col("parsed"), schemas)))
-    status = F.when(F.col("n_calls").isNull(), "orphan").when(F.size("faults") > 0, "invalid").when(F.col("n_results").isNull(), "pending").otherwise("ok")
+    status = F.when(F.col("n_calls").isNull(), "orphan").when(F.col("again"), "repeated").when(F.size("faults") > 0, "invalid").when(F.col("n_results").isNull(), "pending").otherwise("ok")
     # A parsed object keeps its keys sorted; to_json leaves out what is null.
     body = F.to_json(F.struct(F.coalesce("parsed", F.try_parse_json(F.to_json(F.col("arguments").cast("variant")))).alias("arguments"), F.col("call").alias("call_id"), F.col("content"), "faults", "n_calls", "n_results", "name", F.col("depth").alias("position"), "status"))
     return rows.withColumn("status", status).select(F.col("conv").alias("conv_id"), F.col("call").alias("call_id"), F.col("depth").alias("position"), "name", "status", "faults", body.alias("json"))
