@@ -78,11 +78,9 @@ def quality(df: DataFrame, text: str = "text", id: str = "doc_id", lang: str | N
         F.expr("CASE WHEN size(_words) >= 3 THEN transform(sequence(0, size(_words) - 3), i -> xxhash64(get(_words, i), get(_words, i + 1), get(_words, i + 2))) ELSE cast(array() as array<bigint>) END").alias("_grams"),
         F.transform(F.filter("_words", lambda w: w.isin(known)), F.lower).alias("_common"),
     )
-    three = two.withColumn("_mask", F.expr("shiftleft(1L, length(bin(cast(size(_grams) as bigint)))) - 1L"))
-    three = three.withColumn("_sorted", F.expr("CASE WHEN size(array_distinct(_grams)) < size(_grams) THEN sort_array(transform(_grams, (h, i) -> (h & ~_mask) | cast(i as bigint))) ELSE cast(array() as array<bigint>) END"))
-    # Positions of windows next to an equal one; 'same' compares the windows that two places of _sorted stand for.
-    same = "get(_grams, cast(get(_sorted, {}) & _mask as int)) = get(_grams, cast(x & _mask as int))"
-    three = three.withColumn("_starts", F.expr(f"filter(transform(_sorted, (x, k) -> CASE WHEN {same.format('k - 1')} OR {same.format('k + 1')} THEN x & _mask END), x -> x IS NOT NULL)"))
+    # The windows of a text by hash and place, where any occur twice; then the places of those next to an equal one.
+    three = two.withColumn("_sorted", F.expr("CASE WHEN size(array_distinct(_grams)) < size(_grams) THEN sort_array(transform(_grams, (h, i) -> named_struct('h', h, 'i', i))) ELSE cast(array() as array<struct<h:bigint,i:int>>) END"))
+    three = three.withColumn("_starts", F.expr("filter(transform(_sorted, (x, k) -> CASE WHEN get(_sorted, k - 1).h = x.h OR get(_sorted, k + 1).h = x.h THEN cast(x.i as bigint) END), x -> x IS NOT NULL)"))
     three = three.withColumn("_starts", F.sort_array("_starts"))
     repeated = F.expr("aggregate(_starts, named_struct('sum', 0L, 'last', -3L), (a, p) -> named_struct('sum', a.sum + least(3L, p - a.last), 'last', p), a -> a.sum)")
     words = F.element_at(F.create_map(*(x for k, v in COMMON.items() for x in (F.lit(k), F.array(*map(F.lit, v.split()))))), F.col("_lang"))
