@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrivane.llm.cells import bucket_cells, dealt_cells
-from scrivane.llm.common import by_value, fresh, materialise, min_labels, row_key, small, text_of, whole_groups
+from scrivane.llm.common import by_value, fresh, materialise, min_labels, row_key, small, text_of, tidy, whole_groups
 from scrivane.llm.components import connected_components
 
 WORDS, RADIUS, LEAF = 3, 3, 16
@@ -99,29 +100,37 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
 
 
+def shards(fp: Column) -> Column:
+    """The ten keys of a fingerprint: the places and values of two of its five blocks."""
+    block = [F.shiftrightunsigned(fp, 13 * k).bitwiseAND(F.lit(8191)) for k in range(5)]
+    pairs = list(combinations(range(5), 2))
+    return F.array(*(F.shiftleft(block[i], 13) + block[j] + F.lit(n << 26) for n, (i, j) in enumerate(pairs)))
+
+
 def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(id, fp, component): component is the smallest id that links of at most RADIUS differing bits reach.
 
-    Two values that differ in at most three bits agree in one of four 16-bit blocks; each block's values form the
-    shards, each shard a BK-tree, searched by its own members. Trees are built where their rows have been dealt, not
-    broadcast, as their size follows the corpus. Equal fingerprints are one node, so copies cost nothing.
+    Two values that differ in at most three bits agree in two of five blocks; the values of two blocks, 25 or 26 bits, form
+    the shards, each shard a BK-tree, searched by its own members. Trees are built where their rows have been dealt, not
+    broadcast, as their size follows the corpus. Equal fingerprints are one node, so copies cost nothing. Very long texts
+    are hashed a block of shingles at a time.
 
     Null texts are empty; texts without words get fingerprint zero and are linked like any other. Rows are kept as
     they are, repeated ones too; a null id takes part, and a component of null ids only is null. An empty table gives an empty
     result. Other columns are ignored, whatever their names.
     """
-    prints = materialise(df.select(F.col(id).cast("long").alias("id"), text_of(text).alias("text")).mapInArrow(_fingerprints, "id long, fp long"), "prints")
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    blocks = F.array(*(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(65535)) + F.lit(65536 * k) for k in range(4)))
-    cells = bucket_cells(nodes.select("fp", F.explode(blocks).alias("shard")), "shard", "fp", TREE)
-    labels = connected_components(dealt_cells(cells, "shard", "fp").mapInArrow(_links, "a long, b long"))
-    grouped = nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("root"))
-    component = grouped.groupBy("root").agg(F.min("first").alias("component"))
-    of_print = grouped.select("fp", "root").join(component, "root").select("fp", "component")
-    return prints.join(of_print, "fp").select("id", "fp", "component")
-
-
-def hex64(fp: str):
+    with tidy(df.sparkSession):
+        prints = materialise(df.select(F.col(id).cast("long").alias("id"), text_of(text).alias("text")).mapInArrow(_fingerprints, "id long, fp long"), "prints")
+        nodes = prints.groupBy("fp").agg(F.min("id").alias("first"))
+        cells = bucket_cells(nodes.select("fp", F.explode(shards(F.col("fp"))).alias("shard")), "shard", "fp", TREE)
+        labels = connected_components(dealt_cells(cells, "shard", "fp").mapInArrow(_links, "a long, b long"))
+        grouped = materialise(nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("root")), "grouped")
+        component = grouped.groupBy("root").agg(F.min("first").alias("component"))
+        of_print = materialise(grouped.select("fp", "root").join(component, "root").select("fp", "component"), "components")
+        return materialise(prints.join(small(of_print), "fp").select("id", "fp", "component"), "near", lasting=True)
+
+
+def hex64(fp: str) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
@@ -129,11 +138,16 @@ def drop_near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id")
     """df with one row of each component: that of the smallest id (nulls last, then the first row). df must be a reread table."""
     row = fresh(df, "_llm_row")
     keyed = row_key(df, row)
+    with tidy(df.sparkSession):
+        return _without(keyed, text, row, id)
+
+
+def _without(keyed: DataFrame, text: str, row: str, id: str) -> DataFrame:
     found = near_duplicates(keyed, text, row)
     ids = found.select("id", "component").join(keyed.select(F.col(row).alias("id"), F.col(id).alias("doc")), "id")
     order = F.struct(F.col("doc").isNull().alias("z"), F.col("doc").alias("doc"), F.col("id").alias("id"))
     groups = ids.groupBy("component").agg(F.min(order).alias("stays"), F.count("*").alias("n")).where("n > 1")
-    gone = materialise(ids.join(groups, "component").where("id <> stays.id").select(F.col("id").alias(row)), "gone")
+    gone = materialise(ids.join(groups, "component").where("id <> stays.id").select(F.col("id").alias(row)), "gone", lasting=True)
     return keyed.join(small(gone), row, "left_anti").drop(row)
 
 
