@@ -1,4 +1,4 @@
-"""Runs of words that repeat inside paragraphs of otherwise unlike text, where the paragraphs' similarity can't show them."""
+"""Runs of words that recur inside paragraphs of otherwise unlike text, where the paragraphs' similarity can't show them."""
 
 from __future__ import annotations
 
@@ -7,160 +7,100 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivane.llm.common import by_value, materialise, small
+from scrivane.llm.words import Words, rows_of, slices
 
-#: Words of a probe, and of the shingles that choose where probes start.
-PROBE, SHINGLE = 25, 5
-#: Words whose hashes a task keeps at a time; documents of an output batch.
-KEPT_WORDS, ROWS = 200_000, 64
-_BASE = 0xD6E8FEB86659FD93
-_BACK = pow(_BASE, -1, 2**64)
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Words of a probe.
+PROBE = 20
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(0, n - 1), base, np.uint64))])[:n]
-
-
-def rolling(codes: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of every n words in a row; equal words give equal hashes wherever they stand."""
-    if len(codes) < n:
-        return np.empty(0, np.uint64)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(codes * _powers(_BASE, len(codes)))])
-    out = (sums[n:] - sums[:-n]) * _powers(_BACK, len(codes) - n + 1)
-    out ^= out >> np.uint64(31)
-    out *= _ODD
-    return out ^ (out >> np.uint64(29))
-
-
-def probes(codes: np.ndarray, least: int) -> np.ndarray:
-    """Where probes start. Any least words in a row that occur twice hold a probe that starts at the same word in both.
-
-    Of every least - PROBE + 1 places in a row one with the smallest shingle hash is chosen, whatever stands around them.
-    """
-    hashes = rolling(codes, SHINGLE)
-    width = least - PROBE + 1
-    if len(codes) < least:
-        return np.empty(0, np.int64)
-    windows = np.lib.stride_tricks.sliding_window_view(hashes, width)
-    chosen = [windows[s : s + 65536].argmin(axis=1) + np.arange(s, min(s + 65536, len(windows))) for s in range(0, len(windows), 65536)]
-    places = np.unique(np.concatenate(chosen))
-    return places[places <= len(codes) - PROBE]
-
-
-def segments(text: str, gone: set[int]) -> Iterator[tuple[int, int]]:
-    """(start, end) of the stretches of a text between lines that are gone."""
-    at = begin = 0
-    for k, line in enumerate(text.split("\n")):
-        if k in gone:
-            yield begin, at
-            begin = at + len(line) + 1
-        at += len(line) + 1
-    yield begin, len(text)
-
-
-def _codes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    if len(known) > KEPT_WORDS:
-        known.clear()
-    digest = xxhash.xxh3_64_intdigest
-    return np.array([known.get(w) or known.setdefault(w, digest(w) | 1) for w in words], np.uint64)
-
-
-def _probed(least: int):
-    """(row, text, gone) to (row, segment, place, hash) of the probes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        for batch in batches:
-            for part in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
-                rows, parts, places, hashes = [], [], [], []
-                for r in part.to_pylist():
-                    for k, (a, b) in enumerate(segments(r["text"], set(r["gone"] or ()))):
-                        if b - a < 2 * least - 1:
-                            continue
-                        codes = _codes(r["text"][a:b].encode("utf-8", "surrogatepass").split(), known)
-                        at = probes(codes, least)
-                        rows.append(np.full(len(at), r["row"])), parts.append(np.full(len(at), k)), places.append(at), hashes.append(rolling(codes, PROBE)[at])
-                whole = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
-                yield pa.RecordBatch.from_arrays([pa.array(whole(rows, np.int64)), pa.array(whole(parts, np.int32)), pa.array(whole(places, np.int32)), pa.array(whole(hashes, np.uint64).view(np.int64))], ["row", "part", "place", "hash"])
-
-    return run
+_WINDOWS = "nth long, place int, para int, start int, end int, hash long"
 
 
 def _windows(least: int):
-    """(row, id, text, gone, hits) to each window of least words that holds a probe found twice: (row, id, part, place, para, start, end, hash)."""
+    """(nth, text, gone, hits) to each window of least words that holds a hit and no word of a paragraph that is gone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
         for batch in batches:
-            for r in batch.to_pylist():
-                text, hits = r["text"], {}
-                for h in r["hits"]:
-                    hits.setdefault(h["part"], []).append(h["place"])
-                breaks = np.array([m.start() for m in re.finditer("\n", text)], np.int64)
-                for k, (a, b) in enumerate(segments(text, set(r["gone"] or ()))):
-                    if k not in hits:
-                        continue
-                    spans = np.array([m.span() for m in _WORD.finditer(text, a, b)], np.int64)
-                    codes = _codes(text[a:b].encode("utf-8", "surrogatepass").split(), known)
-                    wanted = np.zeros(len(codes) - least + 2, np.int64)
-                    for p in hits[k]:
-                        wanted[max(0, p + PROBE - least)] += 1
-                        wanted[min(p, len(codes) - least) + 1] -= 1
-                    at = np.flatnonzero(np.cumsum(wanted[:-1]) > 0)
-                    start, end, n = spans[at, 0], spans[at + least - 1, 1], len(at)
-                    columns = [np.full(n, r["row"], np.int64), pa.array([r["id"]] * n, pa.int64()), np.full(n, k, np.int32), at.astype(np.int32), np.searchsorted(breaks, start).astype(np.int32), start.astype(np.int32), end.astype(np.int32), rolling(codes, least)[at].view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["row", "id", "part", "place", "para", "start", "end", "hash"])
+            for part in slices(batch, "text"):
+                w = Words(part.column("text"))
+                total, starts = len(w.codes), w.bounds[:-1]
+                ends = np.repeat(w.bounds[1:], np.diff(w.bounds))
+                hits = part.column("hits")
+                own = np.repeat(np.arange(part.num_rows), hits.value_lengths().to_numpy(zero_copy_only=False))
+                at = hits.flatten().to_numpy() + starts[own]
+                marks = np.zeros(total + 1, np.int64)
+                np.add.at(marks, np.maximum(starts[own], at + PROBE - least), 1)
+                np.add.at(marks, at + 1, -1)
+                wanted = np.cumsum(marks[:-1]) > 0
+                wanted &= np.arange(total) + least <= ends
+                gone = part.column("gone").to_pylist()
+                if any(gone):
+                    p = w.paragraphs(least)
+                    out = np.array([bool(gone[t]) and u in gone[t] for t, u in zip(p["text"].tolist(), p["unit"].tolist(), strict=True)], bool)
+                    np.add.at(bad := np.zeros(total + 1, np.int64), np.maximum(p["first"][out] - least + 1, 0), 1)
+                    np.add.at(bad, p["last"][out], -1)
+                    wanted &= np.cumsum(bad[:-1]) == 0
+                at = np.flatnonzero(wanted)
+                own = np.searchsorted(w.bounds, at, "right") - 1
+                text, number, begin, _ = w.lines()
+                line = np.searchsorted(begin, w.starts[at], "right") - 1
+                columns = [part.column("nth").to_numpy()[own], (at - starts[own]).astype(np.int32), number[line].astype(np.int32), w.points(w.starts[at], own), w.points(w.ends[at + least - 1], own), rows_of(w.codes, at, least).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in _WINDOWS.split(", ")])
 
     return run
 
 
-def repeated_runs(keyed: DataFrame, gone: DataFrame, least: int) -> DataFrame:
-    """(row, id, para, start, length, words, keeper, keeper_para, removed) for each longest run of windows of least words that occur twice or more.
+def repeated_runs(keyed: DataFrame, order: DataFrame, probes: DataFrame, gone: DataFrame, least: int) -> DataFrame:
+    """(row, id, kind, para, start, length, words, keeper, keeper_para, removed) for each longest run of windows of least
+    words that occur in two rows or more. What a row repeats for itself is left to the quality rules.
 
-    keyed: (row, id, text); gone: (row, gone), lines by number that are no part of the search. Two passes: probes, chosen by
-    content, that occur once are out; around the others all windows of least words are counted by 64-bit hashes. The
-    window's first place (by smallest id, nulls last, then position) stays. Counts and minima are aggregated before they are
-    shuffled; no pairs are made, so the work grows with the text.
+    keyed: (row, id, text); order: (row, id, nth), nth ascending by id; probes: (row, hash, place, unit, last), chosen by
+    content so that any least words that recur hold one; gone: (row, unit), paragraphs that are no part of the search.
+    Probes found in one row only are out; around the others all windows of least words are aggregated by 64-bit hashes.
+    Those in the first row stay. Counts and minima are aggregated before they are shuffled; no pairs are made, so the
+    work grows with the text.
     """
-    left = keyed.join(small(gone), "row", "left")
-    found = materialise(left.select("row", "text", "gone").mapInArrow(_probed(least), "row long, part int, place int, hash long"), "probes")
-    twice = materialise(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "twice")
-    hits = found.join(small(twice), "hash").groupBy("row").agg(F.collect_list(F.struct("part", "place")).alias("hits"))
-    hits = materialise(hits, "hits")
-    windows = left.join(small(hits), "row").select("row", "id", "text", "gone", "hits").mapInArrow(_windows(least), "row long, id long, part int, place int, para int, start int, end int, hash long")
+    shared = lambda df: df.groupBy("hash").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("hash")
+    twice = materialise(shared(probes), "twice")
+    hits = probes.join(small(twice), "hash")
+    gone = materialise(gone, "gone")
+    for unit in ("unit", "last"):
+        hits = hits.join(small(gone.withColumnRenamed("unit", unit)), ["row", unit], "left_anti")
+    hits = materialise(hits.select("row", "hash", "place"), "left")
+    places = hits.join(small(materialise(shared(hits), "again")), "hash").groupBy("row").agg(F.collect_list("place").alias("hits"))
+    units = gone.groupBy("row").agg(F.collect_list("unit").alias("gone"))
+    places = materialise(places.join(units, "row", "left").join(small(order.drop("id")), "row"), "places")
+    windows = keyed.select("row", "text").join(small(places), "row").select("nth", "text", "gone", "hits").mapInArrow(_windows(least), _WINDOWS)
     windows = materialise(windows, "windows")
-    order = F.struct(F.col("id").isNull().alias("z"), "id", "row", "start", "para")
-    firsts = windows.groupBy("hash").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
-    many = windows.join(firsts, "hash").withColumn("removed", (F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
-    own = Window.partitionBy("row", "part", "removed").orderBy("place")
-    islands = many.withColumn("island", F.col("place") - F.row_number().over(own)).groupBy("row", "id", "part", "removed", "island")
-    runs = islands.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("para").alias("para"), (F.count("*") + least - 1).cast("int").alias("words"), F.min_by("first", "place").alias("first"))
-    return runs.select("row", "id", "para", "start", (F.col("end") - F.col("start")).alias("length"), "words", F.col("first.id").alias("keeper"), F.col("first.para").alias("keeper_para"), "removed")
-
-
-def without(text: str, gone: set[int], ranges: list[tuple[int, int]]) -> str:
-    """A text less whole lines by number, and less ranges of (start, length); lines that hold no words after a cut go too."""
+    firsts = windows.groupBy("hash").agg(F.min("nth").alias("first"), F.max("nth").alias("high")).where("first < high").select("hash", "first")
+    many = windows.join(materialise(firsts, "first-windows"), "hash").withColumn("removed", F.col("nth") > F.col("first"))
+    own = Window.partitionBy("nth", "removed").orderBy("place")
+    islands = many.withColumn("island", F.col("place") - F.row_number().over(own)).groupBy("nth", "removed", "island")
+    runs = islands.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("para").alias("para"), F.count("*").alias("n"), F.min_by("first", "place").alias("first"))
+    runs = materialise(runs, "runs")
+    runs = runs.join(small(order), "nth").join(small(order.select(F.col("nth").alias("first"), F.col("id").alias("keeper"))), "first")
+    words = (F.col("n") + least - 1).cast("int").alias("words")
+    return runs.select("row", "id", F.lit("run").alias("kind"), "para", "start", (F.col("end") - F.col("start")).alias("length"), words, "keeper", F.lit(None).cast("int").alias("keeper_para"), "removed")
+
+
+def without(text: str, ranges: list[tuple[int, int]]) -> str:
+    """A text less ranges of (start, length); lines that hold no words after a cut go too."""
     ranges, out, at = sorted(ranges), [], 0
-    for k, line in enumerate(text.split("\n")):
-        end, pieces, place = at + len(line), [], at
-        if k not in gone:
-            for s, n in ranges:
-                if s < end and s + n > at:
-                    pieces.append(text[place : max(place, s)])
-                    place = max(place, min(end, s + n))
-            if place == at:
-                out.append(line)
-            else:
-                left = " ".join(p for p in (x.strip(" ") for x in [*pieces, text[place:end]]) if p)
-                if _WORD.search(left):
-                    out.append(left)
+    for line in text.split("\n"):
+        end, pieces, place, cut = at + len(line), [], at, False
+        for s, n in ranges:
+            if s < end and s + n > at:
+                pieces.append(text[place : max(place, s)])
+                place, cut = max(place, min(end, s + n)), True
+        if not cut:
+            out.append(line)
+        else:
+            left = " ".join(p for p in (x.strip(" ") for x in [*pieces, text[place:end]]) if p)
+            if _WORD.search(left):
+                out.append(left)
         at = end + 1
     return "\n".join(out)
 

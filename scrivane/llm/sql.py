@@ -34,7 +34,11 @@ lines AS (
   FROM (SELECT doc_id, parts, unnest(range(len(parts))) AS i FROM split)
 ),
 paras AS (SELECT doc_id, para, start, length(line) AS length, {_WORDS.format("line")} AS w FROM lines),
-long AS (SELECT *, len(w) AS words, array_to_string(w, ' ') AS norm FROM paras WHERE len(w) >= {substring.LEAST_WORDS}),
+marked AS (SELECT *, len(w) BETWEEN 1 AND {substring.LEAST_WORDS - 1} AS short FROM paras),
+heads AS (SELECT *, NOT (short AND coalesce(lag(short) OVER (PARTITION BY doc_id ORDER BY para), false)) AS head FROM marked),
+grouped AS (SELECT *, count(*) FILTER (head) OVER (PARTITION BY doc_id ORDER BY para) AS g FROM heads),
+units AS (SELECT doc_id, g, min(para) AS para, min(start) AS start, max(start + length) - min(start) AS length, flatten(list(w ORDER BY para)) AS w FROM grouped GROUP BY doc_id, g),
+long AS (SELECT *, len(w) AS words, array_to_string(w, ' ') AS norm FROM units WHERE len(w) >= {substring.LEAST_WORDS}),
 classes AS (SELECT norm, row_number() OVER (ORDER BY norm) AS c, any_value(w) AS w FROM long GROUP BY norm),
 shingles AS (SELECT DISTINCT c, array_to_string(w[i : i + {substring.WORDS - 1}], ' ') AS s FROM (SELECT c, w, unnest(range(1, len(w) - {substring.WORDS - 2})) AS i FROM classes)),
 sizes AS (SELECT c, count(*) AS n FROM shingles GROUP BY c),
@@ -44,12 +48,12 @@ links AS (
 ),
 reach AS (SELECT c AS a, c AS b FROM classes UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
 labels AS (SELECT a AS c, min(b) AS root FROM reach GROUP BY a),
-members AS (SELECT root, doc_id, para, start, length, words FROM long JOIN classes USING (norm) JOIN labels USING (c)),
+members AS (SELECT root, doc_id, g, para, start, length, words FROM long JOIN classes USING (norm) JOIN labels USING (c)),
 firsts AS (SELECT root, min(ROW(doc_id, para)) AS k FROM members GROUP BY root HAVING count(*) > 1),
-alike AS (SELECT doc_id, para, start, length, words, k[1] AS keeper_doc_id, k[2] AS keeper_para, ROW(doc_id, para) <> k AS removed FROM members JOIN firsts USING (root)),
+alike AS (SELECT doc_id, g, para, start, length, words, k[1] AS keeper_doc_id, k[2] AS keeper_para, ROW(doc_id, para) <> k AS removed FROM members JOIN firsts USING (root)),
 remaining AS (
   SELECT doc_id, para, start, line, count(*) FILTER (gone) OVER (PARTITION BY doc_id ORDER BY para) AS seg, gone
-  FROM (SELECT l.*, s.doc_id IS NOT NULL AS gone FROM lines l LEFT JOIN (SELECT doc_id, para FROM alike WHERE removed) s USING (doc_id, para))
+  FROM (SELECT l.*, s.doc_id IS NOT NULL AS gone FROM lines l JOIN grouped USING (doc_id, para) LEFT JOIN (SELECT doc_id, g FROM alike WHERE removed) s USING (doc_id, g))
 ),
 tokens AS (SELECT doc_id, seg, para, start, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM (SELECT *, regexp_extract_all(line, '[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+') AS toks FROM remaining WHERE NOT gone)),
 placed AS (SELECT *, start + coalesce(sum(length(tok)) OVER (PARTITION BY doc_id, para ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM tokens),
@@ -59,15 +63,15 @@ windows AS (
     md5(string_agg(tok, ' ') OVER (PARTITION BY doc_id, seg ORDER BY place ROWS BETWEEN CURRENT ROW AND {substring.LEAST_WORDS - 1} FOLLOWING)) AS h
   FROM numbered
 ),
-earliest AS (SELECT h, min(ROW(doc_id, a, para)) AS k FROM windows WHERE stop IS NOT NULL GROUP BY h HAVING count(*) > 1),
-again AS (SELECT doc_id, seg, place, para, a, stop, k, ROW(doc_id, a, para) <> k AS removed FROM windows JOIN earliest USING (h) WHERE stop IS NOT NULL),
+earliest AS (SELECT h, min(doc_id) AS k FROM windows WHERE stop IS NOT NULL GROUP BY h HAVING min(doc_id) < max(doc_id)),
+again AS (SELECT doc_id, seg, place, para, a, stop, k, doc_id > k AS removed FROM windows JOIN earliest USING (h) WHERE stop IS NOT NULL),
 runs AS (
   SELECT doc_id, min(para) AS para, min(a) AS start, max(stop) - min(a) AS length, count(*) + {substring.LEAST_WORDS - 1} AS words, min_by(k, place) AS k, removed
   FROM (SELECT *, place - row_number() OVER (PARTITION BY doc_id, seg, removed ORDER BY place) AS island FROM again) GROUP BY doc_id, seg, removed, island
 )
 SELECT doc_id, kind, CAST(para AS INTEGER) AS para, CAST(start AS INTEGER) AS start, CAST(length AS INTEGER) AS length, CAST(words AS INTEGER) AS words,
        keeper_doc_id, CAST(keeper_para AS INTEGER) AS keeper_para, removed
-FROM (SELECT 'paragraph' AS kind, * FROM alike UNION ALL SELECT 'run', doc_id, para, start, length, words, k[1], k[3], removed FROM runs)
+FROM (SELECT 'paragraph' AS kind, * EXCLUDE (g) FROM alike UNION ALL SELECT 'run', doc_id, para, start, length, words, k, NULL, removed FROM runs)
 """
 
 _CALL = f"""'{{"arguments":{{"prompt":' || {_quoted("u.text")} || ',"turn":' || u.turn || '}},"call_id":"' || u.turn || '"'"""
