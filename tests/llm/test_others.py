@@ -1,6 +1,8 @@
 """Operators on vectors, pages, URLs and conversations, and what they share."""
 
+import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -16,9 +18,10 @@ def test_top_k(spark, reread):
     v[40] = v[41] = v[42]  # ties
     v[7] = 0
     rows = [(k, v[k].tolist(), 1, 2) for k in range(300)] + [(41, v[41].tolist(), 1, 2)]
-    bad = [(300, None, 1, 2), (301, [float("nan")] * 16, 1, 2), (302, [0.5, None], 1, 2), (None, [0.1] * 16, 1, 2), (303, [float("inf")] * 16, 1, 2), (350, [1e30] * 16, 1, 2)]
-    df = reread(rows + bad + [(304, [0.5], 1, 2), (305, [], 1, 2)], "vec_id long, embedding array<float>, id long, score long", 3)
-    whole = [(k, np.floor(256 * np.array(x, float)).astype(int)) for k, x, *_ in rows] + [(304, np.array([128] + [0] * 15)), (305, np.zeros(16, int))]
+    bad = [(300, None, 1, 2), (301, [float("nan")] * 16, 1, 2), (302, [0.5, None], 1, 2), (None, [0.1] * 16, 1, 2), (303, [float("inf")] * 16, 1, 2)]
+    large = [(306, [600_000.0] + [0.0] * 15, 1, 2), (307, [-(2.0**45)] + [0.0] * 15, 1, 2), (308, [0.0] * 15 + [2.0**41 + 2.0**20], 1, 2)]
+    df = reread(rows + bad + large + [(304, [0.5], 1, 2), (305, [], 1, 2)], "vec_id long, embedding array<float>, id long, score long", 3)
+    whole = [(k, np.floor(256 * np.array(x, float)).astype(int)) for k, x, *_ in rows + large] + [(304, np.array([128] + [0] * 15)), (305, np.zeros(16, int))]
     got = {}
     for x in bitsliced.top_k(df).collect():
         got.setdefault(x.query_id, []).append((x["rank"], x.score, x.vec_id))
@@ -30,6 +33,11 @@ def test_top_k(spark, reread):
     few = reread([(0, [0.5, -0.25], 1, 1), (50, [0.5, 1.0], 1, 1)], "vec_id long, embedding array<float>, id long, score long")
     assert sorted(tuple(x) for x in bitsliced.top_k(few).collect()) == [(0, 1, 50, 128 * 128 - 64 * 256), (50, 1, 0, 128 * 128 - 64 * 256)]
     assert bitsliced.top_k(few.where("false")).count() == 0
+    huge = reread([(0, [1.0, 0.0]), (50, [0.5, 1e300]), (1, [-1e307, 0.0]), *((k, [1.0, 2.0]) for k in range(2, 8))], "vec_id long, embedding array<double>")
+    assert [(x.vec_id, x.score) for x in bitsliced.top_k(huge.where("vec_id <> 50")).orderBy("rank").collect()] == [(k, 65536) for k in range(2, 7)]
+    for wrong in (huge, huge.where("vec_id < 2")):  # too high for a long; too low, but the only one
+        with pytest.raises(Exception, match="doesn't fit a long"):
+            bitsliced.top_k(wrong).collect()
     assert sum(s << 0 if k == 0 else s * 2**k for k, s in bitsliced.digits(-1234567)) == -1234567
 
 
@@ -101,12 +109,96 @@ def test_left_out_parts():
     assert html_extract.extract("a < b and <unclosed") == "a < b and" and html_extract.extract('<p title="a>b">c</p><p title="never closed>d') in ("c", "c\n\nd")
 
 
-def test_tree_matching():
-    leaf = lambda label, *children: [label, 1, 0, 1, list(children)]
+def leaf(label, *children):
+    return [label, list(children), "div", False, 1, 0, {}, 0]
+
+
+def brute_match(a, b) -> int:
+    """The most nodes that an order of pairs by label reaches, trying all."""
+    if not a or not b:
+        return 0
+    best = max(brute_match(a[1:], b), brute_match(a, b[1:]))
+    return max(best, 1 + brute_match(a[0][1], b[0][1]) + brute_match(a[1:], b[1:])) if a[0][0] == b[0][0] else best
+
+
+def test_tree_matching(monkeypatch):
     a, b = [leaf("x", leaf("p"), leaf("q")), leaf("y")], [leaf("z"), leaf("x", leaf("q")), leaf("y")]
-    assert html_extract.match(a, b) == (3, [(0, 1), (1, 2)])
+    assert html_extract.match(a, b) == (3, [(0, 1, [(1, 0, [])]), (1, 2, [])])
     one = html_extract.merged(leaf("r", *a), leaf("r", *b))
-    assert [c[0] for c in one[4]] == ["z", "x", "y"] and [c[1] for c in one[4]] == [1, 2, 2]
+    assert [c[0] for c in one[1]] == ["z", "x", "y"] and [c[4] for c in one[1]] == [1, 2, 2]
+    assert html_extract.unflat(html_extract.flat(one, html_extract.OF)) == one
+    r = random.Random(5)
+
+    def forest(depth):
+        return [leaf(r.choice("abc"), *(forest(depth - 1) if depth else [])) for _ in range(r.randint(0, 3))]
+
+    for k in range(200):
+        a, b = forest(2), forest(2)
+        monkeypatch.setattr(html_extract, "PAIRS", 4096)
+        assert html_extract.match(a, b)[0] == brute_match(a, b)
+        monkeypatch.setattr(html_extract, "PAIRS", 0)  # in order, as for long lists: sound, if not always best
+        total, pairs = html_extract.match(a, b)
+        assert total <= brute_match(a, b) and all(a[i][0] == b[j][0] for i, j, _ in pairs) and [j for _, j, _ in pairs] == sorted({j for _, j, _ in pairs})
+
+
+def hosted(reread, pages, parts=4):
+    return reread([(k, f"http://one.example.com/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string", parts)
+
+
+def test_templates_of_many_children_and_levels(spark, reread):
+    many = "<body>" + "".join(f'<div class="c"><h3>Head {k}</h3></div><section><p>Constant {k}.</p></section>' for k in range(200)) + '<div class="text"><p>{0}</p></div></body>'
+    got = html_extract.main_text(hosted(reread, [many.format(f"Own text {k}.") for k in range(12)])).collect()
+    assert {x.page_id: x.text for x in got} == {k: f"Own text {k}." for k in range(12)}
+    deep = "<body>" + '<div><b title="x">{1}</b>' * 40 + "<p>Constant, far below.</p><p>{0}</p>" + "</div>" * 40 + "<div>" * 1500 + "<p>Constant at the bottom.</p>"
+    got = html_extract.main_text(hosted(reread, [deep.format(f"Own text {k}.", "") for k in range(8)])).collect()
+    assert {x.page_id: x.text for x in got} == {k: f"Own text {k}." for k in range(8)}
+
+
+def test_the_template_decides_within_articles_and_without_names(spark, reread, monkeypatch):
+    page = '<body><div class="q{1}x"><ul><li><a href="/{0}">{0}</a></ul><p>Offer {0}</p></div><div class="y"><h1>Head {0}</h1><p>First of {0}, long enough to stand out.</p><p>Become a member today.</p><p>Second of {0}, long enough as well.</p><figure><figcaption>Caption {0}</figcaption></figure></div><div class="z"><p>Line {0}</p></div></body>'
+    want = {k: f"Head w{k}\n\nFirst of w{k}, long enough to stand out.\n\nSecond of w{k}, long enough as well.\n\nCaption w{k}" for k in range(10)}
+    for html in (page, page.replace('<div class="y">', "<article>").replace("</figure></div>", "</figure></article>")):
+        df = hosted(reread, [html.format(f"w{k}", k) for k in range(10)])
+        assert {x.page_id: x.text for x in html_extract.main_text(df).collect()} == want
+    assert html_extract.extract(page.format("w1", 1)) != want[1]  # the template alone makes the difference
+    # On the test pages, templates alone choose what names and the article element do.
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    usual = {x.page_id: x.text for x in html_extract.main_text(pages).collect()}
+    monkeypatch.setattr(html_extract, "BOILERPLATE", re.compile("(?!)"))
+    monkeypatch.setattr(html_extract, "MAIN", set())
+    monkeypatch.setattr(html_extract, "NEVER", {"script", "style", "head", "title"})
+    parsed = {r.page_id: (r.url.split("/")[2], r.html) for r in pages.collect()}
+    hosts = {}
+    for host, html in parsed.values():
+        own = html_extract.as_template(html_extract.parse(html)[0])
+        hosts[host] = html_extract.merged(hosts[host], own) if host in hosts else own
+    known = {k: t for k, t in hosts.items() if t[html_extract.COUNT] >= html_extract.PAGES}
+    alone = {k: html_extract.extract(html, html_extract.finished(known[host])) for k, (host, html) in parsed.items() if host in known}
+    right = sum(alone[k] == usual[k] for k in alone)
+    assert len(alone) > 50 and right >= 0.9 * len(alone) and not any(html_extract.extract(parsed[k][1]) == usual[k] for k in alone)
+
+
+def test_near_copies_and_rare_kinds_of_pages_keep_their_texts(spark, reread):
+    page = "<body><header>Site</header><article><h1>{0}</h1><p>{1}</p><p>{2}</p></article></body>"
+    pages = [page.format(f"own {k}", f"text of {k}", f"more of {k}") for k in range(9)] + [page.format("copied", f"changed {k}", "the same everywhere") for k in range(4)]
+    pages.append("<body><div class='other'>Of another kind.</div></body>")
+    got = {x.page_id: x.text for x in html_extract.main_text(hosted(reread, pages)).collect()}
+    assert got == {**{k: f"own {k}\n\ntext of {k}\n\nmore of {k}" for k in range(9)}, **{9 + k: f"copied\n\nchanged {k}\n\nthe same everywhere" for k in range(4)}, 13: "Of another kind."}
+
+
+def test_counts_of_texts_are_bounded_summaries(monkeypatch):
+    monkeypatch.setattr(html_extract, "TEXTS", 4)
+    r, true = random.Random(3), {}
+    one = leaf("p")
+    for k in range(300):
+        own = {h: [1, 5] for h in {0} | ({1} if k % 2 else set()) | {r.randrange(10, 10_000) for _ in range(3)}}
+        for h in own:
+            true[h] = true.get(h, 0) + 1
+        other = leaf("p")
+        other[html_extract.KEPT] = own
+        one = html_extract.merged(one, other)
+    kept, lack = one[html_extract.KEPT], one[html_extract.LACK]
+    assert len(kept) <= 4 and all(n <= true[h] <= n + lack for h, (n, _) in kept.items()) and kept[0][0] + lack >= 300
 
 
 def test_urls(spark, reread):
@@ -174,14 +266,16 @@ def test_chat(spark, reread):
     results = [(1, "a", "res"), (1, "a", "res0"), (1, "zz", "orph"), (2, "p", None), (2, None, "n"), (5, "099", "end")]
     c = reread(calls, "conv_id long, call_id string, name string, arguments string, after string, status int")
     r = reread(results, "conv_id long, call_id string, content string")
-    got = {(x.conv_id, x.call_id): x for x in chat.link_calls(c, r).collect()}
-    assert chat.link_calls(c, r).count() == len(calls) - 1 + 2
+    rows = chat.link_calls(c, r).collect()
+    got = {(x.conv_id, x.call_id): x for x in sorted(rows, key=lambda x: x.json)}
+    assert len(rows) == len(calls) - 1 + 3  # equal calls are one, a has two results, and two results have no call
+    assert sorted(json.loads(x.json)["content"] for x in rows if (x.conv_id, x.call_id) == (1, "a")) == ["res", "res0"]
     position = {k: x.position for k, x in got.items()}
     assert [position[1, k] for k in "abcd"] == [0, 1, 2, 3] and position[2, "p"] is None and position[2, "q"] is None and position[4, "z"] == 0
     assert all(position[5, f"{k:03}"] == k for k in range(100))
     assert {k: x.status for k, x in got.items() if k[0] in (1, 4)} == {(1, "a"): "ok", (1, "b"): "invalid", (1, "c"): "invalid", (1, "d"): "invalid", (1, "zz"): "orphan", (4, "z"): "invalid"}
     assert got[1, "b"].faults == ["q: unknown", "turn: not integer"] and got[2, "q"].faults == ["prompt: missing"] and got[1, "c"].faults == ["name: unknown"] and got[4, "z"].faults == ["turn: not integer"]
-    assert got[1, "a"].json == '{"arguments":{"prompt":"x","turn":1},"call_id":"a","content":"res","faults":[],"n_calls":1,"n_results":2,"name":"reply","position":0,"status":"ok"}'
+    assert min(x.json for x in rows if (x.conv_id, x.call_id) == (1, "a")) == '{"arguments":{"prompt":"x","turn":1},"call_id":"a","content":"res","faults":[],"n_calls":1,"n_results":2,"name":"reply","position":0,"status":"ok"}'
     assert chat.link_calls(c.where("false"), r.where("false")).count() == 0
     turns = reread([(1, 0, "system", "s"), (1, 1, "User", "u"), (1, 2, "assistant", "a"), (1, 3, "user", None), (2, 9, "assistant", "lone"), (3, None, None, None)], "conv_id long, turn long, role string, text string")
     linked = chat.link_calls(*chat.turns_as_calls(turns))
@@ -189,3 +283,27 @@ def test_chat(spark, reread):
     assert sorted(str(x.conv_id) for x in chat.messages(turns).collect()) == ["1", "3"]
     plan = linked._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_repeated_calls_are_all_kept(spark, reread):
+    calls = [(1, "a", "reply", '{"prompt":"x","turn":1}', None), (1, "a", "reply", '{"prompt":"y","turn":1}', None), (1, "a", "reply", '{"prompt":"y","turn":1}', None), (1, "a", None, None, None)]
+    results = [(1, "a", f"r{k % 50}") for k in range(100)]
+    got = chat.link_calls(reread(calls, "conv_id long, call_id string, name string, arguments string, after string"), reread(results, "conv_id long, call_id string, content string")).collect()
+    assert sorted(x.status for x in got) == ["invalid"] * 50 + ["repeated"] * 2 and {json.loads(x.json).get("content") for x in got if x.status == "invalid"} == {f"r{k}" for k in range(50)}
+    assert {json.loads(x.json).get("n_calls") for x in got} == {4} and {json.loads(x.json).get("n_results") for x in got if x.status == "invalid"} == {100}
+    assert {json.loads(x.json)["arguments"]["prompt"] for x in got if x.status == "repeated"} == {"x", "y"}
+
+
+def test_depths_of_many_predecessors(spark):
+    r = random.Random(6)
+    for seed in range(4):
+        edges = [(c, f"{k:02}", f"{r.randrange(k):02}" if seed < 3 or r.random() < 0.9 else f"{r.randrange(30):02}") for c in range(3) for k in range(1, 30) for _ in range(r.choice((0, 1, 1, 2, 3)))]
+        calls = [(c, f"{k:02}", None) for c in range(3) for k in range(30)] + edges + [(0, "05", "gone"), (1, "07", None)]
+        depth: dict = {}
+        after = {}
+        for c, k, a in edges:
+            after.setdefault((c, k), set()).add((c, a))
+        while new := {n: max([depth[p] + 1 for p in after.get(n, ())], default=0) for n in {(c, k) for c, k, _ in calls} - set(depth) if all(p in depth for p in after.get(n, ()))}:
+            depth |= new
+        got = {(x.conv, x.call): x.depth for x in chat.depths(spark.createDataFrame(calls, "conv long, call string, after string")).collect()}
+        assert got == {(c, f"{k:02}"): depth.get((c, f"{k:02}")) for c in range(3) for k in range(30)}

@@ -7,13 +7,13 @@ import corpus_pipeline
 from scrivane.llm import quality, queries, simhash, substring
 from scrivane.llm.common import table
 
-from .test_documents import brute_components, brute_passages, brute_print, brute_quality
+from .test_documents import brute_components, brute_passages, brute_print, brute_quality, brute_units
 
 SMALL = "/root/testdata/sf0.001"
 
 
 def brute_left(texts, gone, least=50):
-    """Texts less lines by number, then less each run of least words that an earlier place holds (in one stretch between such lines)."""
+    """Texts less lines by number, then less each run of least words that an earlier text holds (in one stretch between such lines)."""
     places, masks = {}, {d: bytearray(len(t)) for d, t in texts.items()}
     for d, t in texts.items():
         stretches, at = [[]], 0
@@ -28,8 +28,9 @@ def brute_left(texts, gone, least=50):
             for k in range(len(spans) - least + 1):
                 places.setdefault(tuple(words[k : k + least]), []).append((d, spans[k][0], spans[k + least - 1][1]))
     for p in places.values():
-        for d, a, b in sorted(p)[1:]:
-            masks[d][a:b] = b"\1" * (b - a)
+        for d, a, b in p:
+            if d > min(p)[0]:
+                masks[d][a:b] = b"\1" * (b - a)
     out = {}
     for d, t in texts.items():
         lines, at = [], 0
@@ -63,7 +64,7 @@ def test_stages_equal_brute_force(spark):
     end = corpus_pipeline.run(spark, SMALL).collect()
     passages = brute_passages([(r.doc_id, r.text) for r in stays])
     texts = {r.doc_id: r.text for r in stays}
-    gone = {d: {k for k in range(t.count("\n") + 1) if passages.get((d, k), (d, k)) != (d, k)} for d, t in texts.items()}
+    gone = {d: {k for a, b, _ in brute_units(t) if passages.get((d, a), (d, a)) != (d, a) for k in range(a, b + 1)} for d, t in texts.items()}
     want = {d: len(t.encode()) + 1 for d, t in brute_left(texts, gone).items() if t.strip() or t == texts[d]}
     got = {}
     for x in end:
