@@ -13,22 +13,25 @@ GEOMETRY = "struct<kind:string,parts:array<array<array<array<double>>>>>"
 KINDS = ("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon")
 
 
+#: Stands for what can't be written until the whole geometry is given up; no coordinate's text holds it.
+UNSOUND = "!"
+
+
 def _pair(p: Column) -> Column:
     """x and y; further coordinates are left out."""
-    return F.concat(F.lit("["), json_shortest(F.get(p, F.lit(0))), F.lit(","), json_shortest(F.get(p, F.lit(1))), F.lit("]"))
+    x, y = F.get(p, F.lit(0)), F.get(p, F.lit(1))
+    return F.when(is_finite(x) & is_finite(y), F.concat(F.lit("["), json_shortest(x), F.lit(","), json_shortest(y), F.lit("]")))
 
 
 def _all(items: Column, text: Callable[[Column], Column]) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(items, text), ","), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: F.coalesce(text(x), F.lit(UNSOUND))), ","), F.lit("]"))
 
 
 def coordinates(parts: Column, kind: str) -> Column:
     first = lambda x: F.get(x, F.lit(0))
     line = lambda x: _all(x, _pair)
     if kind == "Point":
-        p = first(first(first(parts)))
-        x, y = F.get(p, F.lit(0)), F.get(p, F.lit(1))
-        return F.when(is_finite(x) & is_finite(y), _pair(p))
+        return _pair(first(first(first(parts))))
     if kind in ("MultiPoint", "LineString"):
         return line(first(first(parts)))
     if kind in ("MultiLineString", "Polygon"):
@@ -37,12 +40,14 @@ def coordinates(parts: Column, kind: str) -> Column:
 
 
 def geometry_json(geometry: Column, kinds: Iterable[str] = KINDS) -> Column:
-    """The geometry's object; null for null geometries, other kinds, and points without finite x and y.
+    """The geometry's object; null for null geometries, other kinds, and those with a missing part or a coordinate that is missing or not finite.
 
     Name the kinds that a column holds if they are known: only their branches are built.
     """
-    text = F.lit(None).cast("string")
+    kinds, text = list(kinds), F.lit(None).cast("string")
     for k in kinds:
         own = F.concat(F.lit(f'{{"type":"{k}","coordinates":'), coordinates(geometry["parts"], k), F.lit("}"))
         text = F.when(geometry["kind"] == k, own).otherwise(text)
+    if set(kinds) != {"Point"}:
+        text = F.get(F.transform(F.array(text), lambda x: F.when(~F.contains(x, F.lit(UNSOUND)), x)), F.lit(0))
     return F.coalesce(text, F.lit("null"))

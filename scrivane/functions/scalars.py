@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-INT_MIN, INT_MAX = -(2**31), 2**31 - 1
+from scrivane.functions.local import INT_MAX, INT_MIN
+
 FULL_TIMESTAMP, DATE_ONLY, NO_SECONDS = "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy-MM-dd HH:mm"
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FLOATING = (T.DoubleType, T.FloatType)
@@ -41,6 +42,9 @@ def _seldom_shortest(c: Column) -> Column:
     digits = F.rtrim(text.cast("decimal(38,22)").cast("string"), F.lit("0"))
     plain = F.when(F.endswith(digits, F.lit(".")), F.concat(digits, F.lit("0"))).otherwise(digits)
     power = F.replace(F.lower(text), F.lit(".0e"), F.lit("e"))
+    for digits_ in (16, 15, 14):  # of numbers this large, the JVM prints some with more digits than they need
+        fewer = F.regexp_replace(F.format_string(f"%.{digits_}e", c), r"\.?0*e\+", "e")
+        power = F.when((size >= 1e16) & (fewer.cast("double") == c), fewer).otherwise(power)
     return F.when((size >= 1e-5) & (size < 1e16), plain).otherwise(power)
 
 
@@ -84,12 +88,6 @@ def escape_controls(c: Column, found: Column | None = None) -> Column:
     return F.when(~(c.rlike(CONTROL) if found is None else found), c).when(c.rlike(rare), outlined(c, lambda x: _replaced(x, common + rest))).otherwise(_replaced(c, common))
 
 
-def json_key(name: str) -> str:
-    """A key with its colon, as a plain string: keys are known when the plan is built."""
-    escaped = "".join(f"\\u{ord(ch):04X}" if ord(ch) < 32 else {'"': '\\"', "\\": "\\\\"}.get(ch, ch) for ch in name)
-    return f'"{escaped}":'
-
-
 def json_date(c: Column) -> Column:
     return json_string(F.date_format(c, DATE_ONLY))
 

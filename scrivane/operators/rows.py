@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrivane.functions.geometry import KINDS, geometry_json
-from scrivane.functions.scalars import CONTROL, DATE_ONLY, FLOATING, FULL_TIMESTAMP, NO_SECONDS, SCALARS, TEXTS, TIMESTAMPS, escape_controls, is_finite, json_key, json_string
+from scrivane.functions.local import json_key
+from scrivane.functions.scalars import CONTROL, DATE_ONLY, FLOATING, FULL_TIMESTAMP, NO_SECONDS, SCALARS, TEXTS, TIMESTAMPS, escape_controls, is_finite, json_string
 from scrivane.functions.unbox import unbox
 from scrivane.functions.values import cell, matrix_cell
 
@@ -79,11 +80,16 @@ def _finished(df: DataFrame, text: Column, keep: Iterable[str | Column], auto_un
 def row_json(df: DataFrame, *, keep: Iterable[str | Column] = (), auto_unbox: bool = False, alias: str = "json", mode: str = "exact", **options) -> DataFrame:
     """The columns in keep, and each row as a JSON object. Rows stay where they are: no shuffle.
 
-    mode fast uses Spark's own writer, which is valid JSON with other number and escape texts. options: row_name_col (a
+    mode fast uses Spark's own writer, which is valid JSON with other number and escape texts; of the options it has
+    leave_out only. options: row_name_col (a
     trailing _row), matrix_cols (arrays that are rows of a matrix), leave_out, timestamp_format (auto: the
     shortest pattern that fits the whole column, by one more pass over the timestamps).
     """
+    if mode not in ("exact", "fast"):
+        raise ValueError(f"mode is exact or fast, not {mode}")
     if mode == "fast":
+        if rest := sorted({*options, *(["auto_unbox"] if auto_unbox else [])} - {"leave_out"}):
+            raise ValueError(f"mode fast has no {', '.join(rest)}")
         fields = [F.when(is_finite(named(f.name)), named(f.name)).alias(f.name) if isinstance(f.dataType, FLOATING) else named(f.name) for f in df.schema.fields if f.name not in set(options.get("leave_out", ()))]
         return df.select(*keep, F.to_json(F.struct(*fields)).alias(alias))
     return _finished(df, properties(df, **options), keep, auto_unbox, alias, set(options.get("leave_out", ())))

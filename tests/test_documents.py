@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrivane import as_json, feature_json, row_json, to_geojson, to_json_array
+from scrivane.functions.values import matrix
+from scrivane.operators import documents
 from scrivane.operators.documents import write_lines
 from scrivane.sources import geometry as G
 
 NAN, INF = float("nan"), float("inf")
 D = dt.datetime
 
+# Documents that must come out byte for byte, as they are agreed with readers of this format.
 FIXTURES = {
     "simple_numeric": ("x double", [(1.0,), (2.5,), (-3.0,)], '[{"x":1},{"x":2.5},{"x":-3}]'),
     "int_na": ("x int", [(1,), (None,), (3,)], '[{"x":1},{},{"x":3}]'),
@@ -74,12 +77,46 @@ def test_matrix_column_fast_mode_and_errors(spark):
         to_geojson(fast, "a")
 
 
+def test_fast_mode_refuses_what_it_lacks(spark):
+    df = spark.createDataFrame([(1, "x")], "a int, c string")
+    for option in ({"auto_unbox": True}, {"row_name_col": "c"}, {"matrix_cols": ["a"]}, {"timestamp_format": "yyyy"}):
+        with pytest.raises(ValueError, match=next(iter(option))):
+            row_json(df, mode="fast", **option)
+    with pytest.raises(ValueError, match="slow"):
+        row_json(df, mode="slow")
+    assert one(row_json(df, mode="fast", leave_out=["a"])) == '{"c":"x"}'
+
+
+def test_mixed_lists_and_null_rows(spark):
+    df = spark.sql("""SELECT parse_json('{"b":"x\\\\ny","a":1,"c":null,"d":[1,"q",[]],"e":[true,null]}') AS v, array(parse_json('1'), parse_json('"z"'), NULL) AS l,
+                             map('k', parse_json('2.5'), 'a', parse_json('[1,2]')) AS m, named_struct('s', parse_json('[3]')) AS s, array(named_struct('t', parse_json('4'))) AS t, array(array(1), NULL, array(2, NULL)) AS x""")
+    assert one(row_json(df)) == (
+        '{"v":{"a":[1],"b":["x\\u000Ay"],"c":["NA"],"d":[[1],["q"],[]],"e":[true,"NA"]},"l":[[1],["z"],["NA"]],'
+        '"m":{"a":[1,2],"k":[2.5]},"s":{"s":[3]},"t":[{"t":[4]}],"x":[[1],{},[2,"NA"]]}'
+    )
+    assert df.select(matrix(F.col("x"), T.IntegerType()).alias("json")).first()[0] == '[[1],{},[2,"NA"]]'
+
+
+def test_documents_that_are_too_long(spark, monkeypatch):
+    monkeypatch.setattr(documents, "MOST_BYTES", 100)
+    df = spark.range(10)
+    assert len(one(to_json_array(df, "id"))) == 91 - 0
+    for options in ({}, {"ranges": 2}, {"by": ["k"]}):
+        with pytest.raises(Exception, match="write_lines"):
+            to_json_array(spark.range(40).withColumn("k", F.lit(1)), "id", **options).collect()
+
+
 def test_order_ties_and_partitions(spark):
     df = spark.range(3000).select((F.col("id") % 7).alias("k"), F.col("id").alias("v"), (F.col("id") / 8).alias("w"))
     texts = {one(to_json_array(df.repartition(p), "k", ranges=r)) for p, r in ((1, 1), (4, 3), (13, 5))}
     assert len(texts) == 1 and len(json.loads(texts.pop())) == 3000
 
 
+def unsound(bad):
+    line = F.array(F.array(F.lit(0.0), F.lit(0.0)), F.array(F.lit(1.0), bad))
+    return [G.point(F.lit(1.0), bad), G.multipoint(line), G.linestring(line), G.multilinestring(F.array(line)), G.polygon(F.array(line)), G.multipolygon(F.array(F.array(line)))]
+
+
 def test_geojson(spark):
     df = spark.createDataFrame([(1.0,)], "id double").withColumn("geometry", G.point(F.lit(0), F.lit(0)))
     assert one(to_geojson(df, "geometry")) == '{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"id":1},"geometry":{"type":"Point","coordinates":[0.0,0.0]}}]}'
@@ -99,6 +136,9 @@ def test_geojson(spark):
         (G.point(F.lit(NAN), F.lit(1)), "null"),
         (F.struct(F.lit("Point").alias("kind"), G.multipoint(none)["parts"].alias("parts")), "null"),
         (F.struct(F.lit("GeometryCollection").alias("kind"), G.multipoint(none)["parts"].alias("parts")), "null"),
+        *((g, "null") for bad in (NAN, INF, None) for g in unsound(F.lit(bad).cast("double"))),
+        (G.linestring(F.array(F.array(F.lit(1.0), F.lit(2.0)), F.lit(None).cast("array<double>"))), "null"),
+        (G.polygon(F.array(line, F.lit(None).cast("array<array<double>>"))), "null"),
         (F.lit(None).cast("struct<kind:string,parts:array<array<array<array<double>>>>>"), "null"),
     ]
     for g, text in want:
