@@ -37,12 +37,20 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_rest_works_without_the_training_data_operators(tmp_path):
+@pytest.mark.parametrize("left", ["nothing", "the pipeline", "operators without their libraries"])
+def test_rest_works_without_the_training_data_operators(tmp_path, left):
     root = Path(__file__).resolve().parent.parent
     shutil.copytree(root / "scrivane", tmp_path / "scrivane", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; assert e.queries() and set(e.oracle_sql()) <= set(e.queries()) and not any(q.startswith('op') for q in e.queries())"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    if left != "nothing":
+        (tmp_path / "corpus_pipeline.py").write_text("from scrivane.llm import simhash\n")
+    if left.startswith("operators"):
+        (tmp_path / "scrivane/llm").mkdir()
+        (tmp_path / "scrivane/llm/__init__.py").touch()
+        (tmp_path / "scrivane/llm/simhash.py").write_text("import a_library_that_is_not_there\n")
+    code = "import __spark_entry__ as e; assert e.queries() and set(e.oracle_sql()) <= set(e.queries()) and not any(q.startswith('op') or q == 'pipeline' for q in e.queries())"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    assert ("a_library_that_is_not_there" in done.stderr) == left.startswith("operators")
 
 
 def test_scans_are_pruned(spark):
