@@ -14,6 +14,7 @@ from scrivane.operators.documents import as_json, to_geojson, to_json_array
 from scrivane.operators.rows import feature_json, row_json
 from scrivane.plans import sql as S
 from scrivane.sources import geometry as G
+from scrivane.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -21,7 +22,11 @@ ORACLE_SQL: dict[str, str] = {}
 
 def _query(name: str, twin: str):
     def add(f: Callable[[SparkSession, Callable[[str], DataFrame]], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(spark, lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+        def load(spark: SparkSession, sf_dir: str) -> Callable[..., DataFrame]:
+            """By a table's name; with keys its rows are dealt out by them if one task would have to encode them all."""
+            return lambda table, *keys: read_table(spark, f"{sf_dir}/{table}.parquet", *keys) if keys else spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+        QUERIES[name] = lambda spark, sf_dir: f(spark, load(spark, sf_dir))
         ORACLE_SQL[name] = twin
         return f
 
@@ -46,12 +51,12 @@ _LINES = _pairs(
 
 @_query("row_json_orders", f"SELECT o_orderkey, {S.row(*_ORDERS)} AS json FROM orders")
 def _(spark, t):
-    return row_json(t("orders"), keep=["o_orderkey"], timestamp_format=FULL_TIMESTAMP)
+    return row_json(t("orders", "o_orderkey"), keep=["o_orderkey"], timestamp_format=FULL_TIMESTAMP)
 
 
 @_query("row_json_lineitem", f"SELECT l_orderkey, l_linenumber, {S.row(*_LINES)} AS json FROM lineitem")
 def _(spark, t):
-    return row_json(t("lineitem"), keep=["l_orderkey", "l_linenumber"], timestamp_format=FULL_TIMESTAMP)
+    return row_json(t("lineitem", "l_orderkey"), keep=["l_orderkey", "l_linenumber"], timestamp_format=FULL_TIMESTAMP)
 
 
 _SPARSE = "CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 7 = 1 THEN CAST('nan' AS DOUBLE) WHEN event_id % 7 = 2 THEN CAST('inf' AS DOUBLE) WHEN event_id % 7 = 3 THEN CAST('-inf' AS DOUBLE) ELSE value END"
@@ -63,14 +68,14 @@ _SPARSE = "CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 7 = 1 THEN CAST(
 )
 def _(spark, t):
     k = F.col("event_id")
-    df = t("events").select(k, F.expr(_SPARSE).alias("v"), F.when(k % 5 > 0, F.col("event_type")).alias("kind"), F.when(k % 3 > 0, k % 2 == 0).alias("flag"))
+    df = t("events", "event_id").select(k, F.expr(_SPARSE).alias("v"), F.when(k % 5 > 0, F.col("event_type")).alias("kind"), F.when(k % 3 > 0, k % 2 == 0).alias("flag"))
     return row_json(df, keep=["event_id"])
 
 
 for _table, _id, _texts in (("documents", "doc_id", ("text", "lang", "source")), ("pages", "page_id", ("url", "html")), ("conversations", "conv_id", ("role", "text"))):
 
     def _escapes(spark, t, table=_table, id=_id, texts=_texts):
-        return row_json(t(table).select(id, *texts), keep=[id])
+        return row_json(t(table, id).select(id, *texts), keep=[id])
 
     _query(f"string_escape_{_table}", f"SELECT {_id}, " + S.row((_id, S.whole(_id)), *((x, S.quoted(x)) for x in _texts)) + f" AS json FROM {_table}")(_escapes)
 
@@ -100,6 +105,40 @@ def _(spark, t):
     return row_json(df, keep=["o_orderkey"])
 
 
+_RARE = "CAST((CASE WHEN o_orderkey % 2 = 0 THEN '-' ELSE '' END) || (o_custkey % 997 + 1) || 'e' || (o_orderkey % 61 - 30) AS DOUBLE)"
+
+
+@_query("number_rare", f"SELECT o_orderkey, {S.row(('x', S.shortest_number('x')), ('y', S.shortest_number('y')))} AS json FROM (SELECT o_orderkey, {_RARE} AS x, {_RARE.replace('% 61 - 30', '% 600 - 300')} AS y FROM orders)")
+def _(spark, t):
+    """Numbers of all sizes, from 1e-300 to 1e302, most of them outside of the usual range."""
+    sign = F.when(F.col("o_orderkey") % 2 == 0, "-").otherwise("")
+    of = lambda n: F.concat(sign, F.col("o_custkey") % 997 + 1, F.lit("e"), F.col("o_orderkey") % n - n // 2).cast("double")
+    return row_json(t("orders").select("o_orderkey", of(61).alias("x"), of(600).alias("y")), keep=["o_orderkey"], leave_out=["o_orderkey"])
+
+
+_ODD_KEYS = {'sp ace': "n_nationkey", 'quote"d': "n_regionkey", "back\\slash": "n_nationkey + 1", "uni\u00e7ode.x": "n_nationkey + 2", "line\nbreak\t": "n_nationkey + 3", "`tick`": "n_nationkey + 4"}
+_ODD_TEXT = ['"sp ace":', '"quote\\"d":', '"back\\\\slash":', '"uni\u00e7ode.x":', '"line\\u000Abreak\\u0009":', '"`tick`":']
+
+
+@_query("odd_keys", "SELECT n_nationkey, '{' || " + " || ',' || ".join(f"'{k}' || ({x})" for k, x in zip(_ODD_TEXT, _ODD_KEYS.values(), strict=True)) + " || '}' AS json FROM nation")
+def _(spark, t):
+    return row_json(t("nation").select("n_nationkey", *(F.expr(x).alias(k) for k, x in _ODD_KEYS.items())), keep=["n_nationkey"], leave_out=["n_nationkey"])
+
+
+@_query("unsupported_column", f"SELECT n_nationkey, {S.row(('n_nationkey', S.whole('n_nationkey')), ('n_name', S.quoted('n_name')))} AS json, '{{}}' AS alone, '[{{}},{{}}]' AS listed FROM nation")
+def _(spark, t):
+    """Bytes have no text: such a column is left out, and such a value by itself or in a list is an empty object."""
+    df = t("nation").select("n_nationkey", "n_name", F.col("n_name").cast("binary").alias("raw"))
+    two = F.array(F.col("raw"), F.col("raw"))
+    kinds = df.select(two.alias("two")).schema["two"].dataType
+    return row_json(df, keep=["n_nationkey", value_json(F.col("raw"), kinds.elementType).alias("alone"), value_json(two, kinds).alias("listed")])
+
+
+@_query("timestamp_minutes", f"SELECT event_id, {S.row(('event_id', S.whole('event_id')), ('ts', S.stamp("date_trunc('minute', ts)", '%Y-%m-%d %H:%M')))} AS json FROM events")
+def _(spark, t):
+    return row_json(t("events").select("event_id", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("ts")), keep=["event_id"])
+
+
 @_query("row_names", f"SELECT n_nationkey, {S.row(('n_nationkey', S.whole('n_nationkey')), ('n_regionkey', S.whole('n_regionkey')), ('_row', S.quoted('n_name')))} AS json FROM nation")
 def _(spark, t):
     return row_json(t("nation"), keep=["n_nationkey"], row_name_col="n_name")
@@ -179,6 +218,16 @@ def _(spark, t):
     return row_json(_grouped(t("lineitem"), F.when(F.col("l_linenumber") != 2, F.to_date("l_shipdate"))), keep=["l_orderkey"], leave_out=["l_orderkey"])
 
 
+@_query("vector_timestamp", _vector_twin(f"list(CASE WHEN l_linenumber <> 2 THEN l_shipdate END {_ORDER})", S.stamp("x")))
+def _(spark, t):
+    return row_json(_grouped(t("lineitem"), F.when(F.col("l_linenumber") != 2, F.col("l_shipdate"))), keep=["l_orderkey"], leave_out=["l_orderkey"])
+
+
+@_query("vector_factor", _vector_twin(f"list(CASE l_linenumber % 4 WHEN 1 THEN 'low' WHEN 2 THEN 'NA' WHEN 3 THEN 'a\"b' END {_ORDER})", S.quoted("x")))
+def _(spark, t):
+    return row_json(_grouped(t("lineitem"), factor_level(F.col("l_linenumber") % 4, ["low", None, 'a"b'])), keep=["l_orderkey"], leave_out=["l_orderkey"])
+
+
 _EMBEDDED = "list_transform(embedding, lambda y: round(CAST(y AS DOUBLE) * 4096) / 64)"
 _EIGHTS = f"list_transform(range(8), lambda r: ({_EMBEDDED})[r * 8 + 1 : r * 8 + 8])"
 
@@ -244,6 +293,14 @@ def _(spark, t):
     return rows.select("c_custkey", value_json(F.col("x"), rows.schema["x"].dataType).alias("json"))
 
 
+@_query("mixed_list", "SELECT c_custkey, '[[' || c_custkey || '],[\"a\\u000Ab\"],[\"NA\"],[1,2],{\"k\":[true],\"l\":[\"NA\"]}]' AS json FROM customer")
+def _(spark, t):
+    """A list of several kinds, as a variant."""
+    text = F.concat(F.lit("["), F.col("c_custkey"), F.lit(',"a\\nb",null,[1,2],{"l":null,"k":true}]'))
+    rows = t("customer").select("c_custkey", F.parse_json(text).alias("v"))
+    return rows.select("c_custkey", value_json(F.col("v"), rows.schema["v"].dataType).alias("json"))
+
+
 @_query("map_object", "SELECT c_custkey, '{\"a\":[' || c_nationkey || '],\"b\":[\"NA\"]}' AS json FROM customer")
 def _(spark, t):
     rows = t("customer").select("c_custkey", F.create_map(F.lit("b"), F.lit(None).cast("int"), F.lit("a"), F.col("c_nationkey")).alias("m"))
@@ -266,7 +323,7 @@ _SIZED = "list_transform(range(l_linenumber % 3), lambda i: l_partkey + i)"
 def _(spark, t):
     n = (F.col("l_linenumber") % 3).cast("int")
     p = F.transform(F.slice(F.array(F.lit(0), F.lit(1)), 1, n), lambda i: F.col("l_partkey") + i)
-    df = t("lineitem").select("l_orderkey", "l_linenumber", p.alias("p"), F.array(F.concat("l_returnflag", F.lit("]"))).alias("s"))
+    df = t("lineitem", "l_orderkey").select("l_orderkey", "l_linenumber", p.alias("p"), F.array(F.concat("l_returnflag", F.lit("]"))).alias("s"))
     return row_json(df, keep=["l_orderkey", "l_linenumber"], leave_out=["l_orderkey", "l_linenumber"], auto_unbox=True)
 
 
@@ -350,6 +407,19 @@ def _(spark, t):
     return feature_json(_features(spark, t, F.when(F.col("s_suppkey") % 2 == 0, G.point(nan, nan))), "geometry", keep=["s_suppkey"])
 
 
+@_query("geo_unsound", "SELECT s_suppkey, " + _feature(f"CASE WHEN s_suppkey % 4 = 0 THEN {_shape('MultiPolygon')} WHEN s_suppkey % 4 = 3 THEN {_shape('LineString')} ELSE 'null' END") + " AS json FROM supplier")
+def _(spark, t):
+    """Geometries with a coordinate that is missing or not finite are null, whatever their kind."""
+    k = F.col("s_suppkey") % 4
+    bad = F.when(k == 1, F.lit(None).cast("double")).when(k == 2, float("inf"))
+    x, y = (F.col("s_suppkey") % 360 - 180 + F.lit(0.125)).cast("double"), (F.col("s_nationkey") * F.lit(2.5) - 30).cast("double")
+    p = lambda dx, dy: F.array(x + dx, y + dy)
+    last = F.array(x + 1, F.when(k.isin(0, 3), y + 1).otherwise(bad))
+    line, ring = F.array(p(0, 0), last), F.array(p(0, 0), p(1, 0), last, p(0, 0))
+    shape = F.when(k == 3, G.linestring(line)).otherwise(G.multipolygon(F.array(F.array(ring, ring), F.array(ring))))
+    return feature_json(_features(spark, t, shape), "geometry", keep=["s_suppkey"])
+
+
 _PLACES = S.row(("s_suppkey", S.whole("s_suppkey")), ("s_name", S.quoted("s_name")), ("n_name", S.quoted("n_name")))
 
 

@@ -12,6 +12,17 @@ def number(x: str) -> str:
     return f"(CASE WHEN {x} = trunc({x}) AND {x} BETWEEN -2147483648 AND 2147483647 THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END)"
 
 
+def shortest(x: str) -> str:
+    """A number's shortest text: plain from 1e-5 to 1e16, else with a bare exponent."""
+    text, power = f"CAST({x} AS VARCHAR)", rf"regexp_replace(CAST({x} AS VARCHAR), 'e[+]?(-?)0*', 'e\1')"
+    plain = f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END || '0.0000' || replace(split_part(CAST(abs({x}) AS VARCHAR), 'e', 1), '.', ''))"
+    return f"(CASE WHEN contains({text}, 'e') THEN CASE WHEN abs({x}) BETWEEN 1e-5 AND 1e-4 THEN {plain} ELSE {power} END ELSE {text} END)"
+
+
+def shortest_number(x: str) -> str:
+    return f"(CASE WHEN {x} = trunc({x}) AND {x} BETWEEN -2147483648 AND 2147483647 THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE {shortest(x)} END)"
+
+
 def whole(x: str) -> str:
     return f"CAST({x} AS VARCHAR)"
 
