@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +35,7 @@ UNKNOWN, LETTER = 1e-4, 0.1
 LONGEST = 24
 #: A dictionary goes to every task if its words, of which BROADCAST_ROWS are allowed, have no more letters than this in all.
 WORD_BYTES = 4 << 20
-_WORD = re.compile(r"[a-z]+")
+_WORD = regex.compile(r"\p{L}+")
 
 
 def examples() -> list[tuple[bool, list[str]]]:
@@ -93,7 +93,7 @@ class Scorer:
         return words
 
     def words(self, host: str, path: str) -> list[str]:
-        """The words of a host without its last label, and of a path."""
+        """The words of a host without its last label (a country or a kind of owner, no word of a name), and of a path. Letters of all scripts count."""
         return [w for run in _WORD.findall(host.rpartition(".")[0].lower() + " " + path.lower()) for w in self.split(run)]
 
     def score(self, host: str, path: str) -> float:
@@ -128,7 +128,7 @@ def _scored(counts: dict[str, int]):
 
 def _runs(host: Column, path: Column) -> Column:
     """The runs of letters that Scorer.words splits, as an array."""
-    return F.regexp_extract_all(F.lower(F.concat_ws(" ", F.regexp_replace(host, r"(?s)\.?[^.]*$", ""), path)), F.lit("([a-z]+)"), F.lit(1))
+    return F.regexp_extract_all(F.lower(F.concat_ws(" ", F.regexp_replace(host, r"(?s)\.?[^.]*$", ""), path)), F.lit(r"(\p{L}+)"), F.lit(1))
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
