@@ -1,18 +1,23 @@
 """Operators on documents: brute force on fixtures, and the cases that every one of them must bear."""
 
 import hashlib
+import math
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import sentencepiece
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from scrivane.llm import bpe, packing, quality, runs, simhash, substring, token_cache, vocabulary, words
-from scrivane.llm.common import roots, scratch, table
+from scrivane.llm.common import materialise, roots, row_key, scratch, table
 
 from .conftest import CLASHES, DOCS
 
@@ -200,6 +205,13 @@ def test_a_cut_leaves_the_rest():
     assert runs.without("a\n\nb\nc", [(0, 4)]) == "c"
 
 
+def test_keys_need_lasting_rows(spark, odd):
+    assert row_key(odd.where("doc_id > 3").select("text"), "key").count() > 3
+    for df in (odd.repartition(3), odd.distinct(), odd.join(odd.select("doc_id"), "doc_id"), odd.orderBy("doc_id")):
+        with pytest.raises(ValueError, match="lasting"):
+            row_key(df, "key")
+
+
 def test_words_of_blocks(monkeypatch):
     monkeypatch.setattr(words, "BLOCK", 16)
     r = random.Random(7)
@@ -245,6 +257,48 @@ def brute_quality(t) -> tuple:
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), again, failed
 
 
+def brute_kept(text, lang) -> bool:
+    """The whole verdict: base rules, then Jensen-Shannon distances of character classes and of common words."""
+    text, words = text or "", WORD.findall(text or "")
+
+    def distance(p: list[float], q: list[float]) -> float:
+        each = [(a, b, (a + b) / 2) for a, b in zip(p, q, strict=True)]
+        return math.sqrt(max(0.0, sum((a * math.log2(a / m) if a else 0) + (b * math.log2(b / m) if b else 0) for a, b, m in each) / 2))
+
+    if brute_quality(text)[-1]:
+        return False
+    if len(text) >= 200:
+        classes = dict.fromkeys(quality.CLASSES, 0)
+        for c in text:
+            kind = unicodedata.category(c)
+            upper = "upper" if kind == "Lu" else "lower"
+            classes[upper if kind[0] == "L" else "space" if c in " \t\n\v\f\r" else "digit" if kind == "Nd" else "punctuation" if c in ".,;:!?'\"()-" else "other"] += 1
+        if distance([n / len(text) for n in classes.values()], list(quality.CLASSES.values())) > quality.MOST_CLASSES:
+            return False
+    if len(words) >= 100 and (lang or "").lower() in quality.COMMON:
+        common = quality.COMMON[lang.lower()].split()
+        counted = [sum(w in (c, c.capitalize()) for w in words) / len(words) for c in common]
+        like = [quality.FIRST * k**-quality.SLOPE for k in range(1, 17)]
+        return distance([*counted, 1 - sum(counted)], [*like, 1 - sum(like)]) <= quality.MOST_COMMON
+    return True
+
+
+def test_verdicts_equal_brute_force(spark, odd):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    got = {r.doc_id: r.kept for r in quality.quality(docs).collect()}
+    assert got == {r.doc_id: brute_kept(r.text, r.lang) for r in docs.collect()}
+    assert 0.5 < sum(got.values()) / len(got) < 1
+    want = sorted(str((r[0], brute_kept(r[1], r[2]))) for r in odd_rows())
+    assert sorted(str((x.doc_id, x.kept)) for x in quality.quality(odd).collect()) == want
+
+
+def test_repeated_windows_of_long_texts(spark, reread):
+    r = random.Random(12)
+    texts = ["".join(r.choice("ab ") for _ in range(n)) for n in (300, 3000, 60_000)] + [" ".join(str(r.randrange(300)) for _ in range(20_000)), " ".join(str(k) for k in range(200_000)) + " 1 2 3 4"]
+    got = {x.doc_id: x.n_repeat_words for x in quality.quality(reread(list(enumerate(texts)), "doc_id long, text string"), lang=None).collect()}
+    assert got == {k: brute_quality(t)[4] for k, t in enumerate(texts)}
+
+
 def test_quality(spark, odd, none, reread):
     rows = odd_rows()
     judged = quality.quality(odd).collect()
@@ -293,6 +347,11 @@ def test_packing(spark, odd, none):
     assert sum(lengths) / sum(result[2]) > 0.97
     costs = [sum(map(packing.cost, packing.best_fit(lengths, packing.CAPACITIES, c)[2])) for c in (None, *packing.CAPACITIES)]
     assert sum(map(packing.cost, result[2])) == min(costs)
+    assert packing.pack(lengths) == brute_pack(lengths, packing.CAPACITIES)
+    for seed in range(40):
+        q = random.Random(seed)
+        some, sizes = [q.randint(1, 16) for _ in range(q.randint(0, 40))], tuple(sorted(q.sample(range(1, 16), 2))) + (16,)
+        assert packing.pack(some, sizes) == brute_pack(some, sizes)
     # Small cases against all ways to divide them.
     for seed in range(30):
         few = [random.Random(seed * 10 + k).randint(1, 16) for k in range(6)]
@@ -313,6 +372,39 @@ def test_packing(spark, odd, none):
         assert b[0].filled == sum(x.length for x in b) <= b[0].capacity and b[0].capacity in packing.CAPACITIES
 
 
+def brute_pack(lengths, capacities):
+    """Best fit by looking at every bin for every item, for every way to open bins."""
+    found = []
+    for opening in (None, *sorted(capacities)):
+        bins, where = [], {}
+        order = sorted(enumerate(lengths), key=lambda x: -x[1])
+        for n, (k, size) in enumerate(order):
+            room = [(b["free"], i) for i, b in enumerate(bins) if b["free"] >= size]
+            if not room:
+                fits = [c for c in sorted(capacities) if c >= size]
+                left = sum(x for _, x in order[n:])
+                free = min(fits, key=lambda c: packing.cost(c) / min(c, left)) if opening is None else next((c for c in fits if c >= opening), fits[-1])
+                bins.append({"free": free, "used": 0})
+                room = [(free, len(bins) - 1)]
+            where[k] = min(room)[1]
+            bins[where[k]]["free"] -= size
+            bins[where[k]]["used"] += size
+        used = [b["used"] for b in bins]
+        found.append(([where[k] for k in range(len(lengths))], used, [min(c for c in capacities if c >= u) for u in used]))
+    return min(found, key=lambda f: sum(packing.cost(c) for c in f[2]))
+
+
+def test_lengths_that_are_given(spark, reread):
+    df = reread([(1, "a", 5000), (2, "b", None), (3, "c", 0), (4, None, -3), (5, "", 70_000), (5, "", 70_000)], "doc_id long, text string, n int")
+    got = packing.pack_documents(df, length=F.col("n")).collect()
+    total = Counter()
+    for x in got:
+        total[x.doc_id] += x.length
+    assert total == {1: 5000, 2: 1, 3: 1, 4: 1, 5: 140_000} and max(x.length for x in got) == 32768
+    counts = materialise(token_cache.count_tokens(df), "counted")  # as operator 8 counts them
+    assert Counter(x.length for x in packing.pack_documents(counts, length=F.col("n_tokens") + 1).collect()) == {1: 3, 2: 3}
+
+
 def divisions(items):
     if not items:
         yield []
@@ -344,7 +436,12 @@ def test_bpe_equals_the_library(spark, odd, none, reread, monkeypatch):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_token_cache(spark, odd, none, reread, name):
     file, cache = vocabulary.path(name), scratch(spark, "cache")
-    count = token_cache.counter(file)
+    if name.endswith(".json"):
+        library = Tokenizer.from_file(file)
+        count = lambda texts: [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    else:
+        library = sentencepiece.SentencePieceProcessor(model_file=file)
+        count = lambda texts: [len(library.encode(t)) for t in texts]
     extra = reread([(90, "<|endoftext|> a <|endoftext|>"), (91, "<s> b"), (92, "word " * 3000)], "doc_id long, text string")
     want = sorted(str((r[0], len((r[1] or "").encode()), n, n > 1024)) for r, n in zip(odd_rows(), count([r[1] or "" for r in odd_rows()]), strict=True))
     assert sorted(str(tuple(x)) for x in token_cache.count_tokens(odd, file=file, cache=cache).collect()) == want

@@ -1,6 +1,7 @@
 """Operators on vectors, pages, URLs and conversations, and what they share."""
 
 import json
+import math
 import random
 import re
 
@@ -231,6 +232,34 @@ def test_viterbi_and_held_out_urls(monkeypatch):
     assert right / sum(map(len, sides.values())) > 0.7
 
 
+def test_splits_and_odds_equal_brute_force():
+    r = random.Random(11)
+    counts = {"".join(r.choice("ab") for _ in range(r.randint(1, 4))): r.randint(1, 50) for _ in range(12)}
+    s = url_filter.Scorer(counts)
+
+    def ways(name):
+        return [[]] if not name else [[name[:k], *rest] for k in range(1, len(name) + 1) for rest in ways(name[k:])]
+
+    def share(word, name):
+        n = counts.get(word, 0) - (word == name and word in counts) + sum(x.count(word) for _, x in url_filter.examples())
+        return math.log(n / s.total) if n > 0 else math.log(url_filter.UNKNOWN) + len(word) * math.log(url_filter.LETTER)
+
+    for _ in range(200):
+        name = "".join(r.choice("aab") for _ in range(r.randint(1, 9)))
+        best = max(sum(share(w, name) for w in way) for way in ways(name))
+        got = s.split(name)
+        assert "".join(got) == name and sum(share(w, name) for w in got) == pytest.approx(best)
+    # Multinomial naive Bayes, counted anew.
+    seen = {True: [], False: []}
+    for blocked, x in url_filter.examples():
+        seen[blocked] += x
+    words = {w for x in seen.values() for w in x}
+    for w, odds in url_filter.odds().items():
+        p = {b: (seen[b].count(w) + url_filter.SMOOTHING) / (len(seen[b]) + url_filter.SMOOTHING * len(words)) for b in seen}
+        assert odds == pytest.approx(math.log(p[True] / p[False]))
+    assert set(url_filter.odds()) == words
+
+
 def test_labelled_urls_are_not_those_of_the_tables():
     planted = "cheap-pills free-bets casino-win spam-farm ads-track adult-x".split()
     examples = {x.partition("/")[0] for x in (url_filter.BLOCK + " " + url_filter.ALLOW).split()}
@@ -244,11 +273,11 @@ def test_url_words_grow_with_the_input(spark, reread, monkeypatch, most):
     monkeypatch.setattr(url_filter, "BROADCAST_ROWS", most)
     # No labelled word: zorblat, quimsy and artisan (not art and isan) are words only as other hosts have them.
     urls = ["http://zorblatcasino.example.com/a", "http://zorblat.example.com/quimsy", "http://zorblat.b.example.com/", "http://quimsy.c.example.com/", "http://adultquimsypills.example.com/", "http://artisanzorblat.example.com/", "no scheme", None]
-    urls += ["http://" + "ab" * 5000 + ".com/casinozorblat", "http://zorblat.example.com/quimsy", "http://artisan.d.example.com/"]
+    urls += ["http://" + "ab" * 5000 + ".com/casinozorblat", "http://zorblat.example.com/quimsy", "http://artisan.d.example.com/", "http://мир.e.example.com/casino", "http://новыймир.e.example.com/", "http://новый.f.example.com/1"]
     df = reread([(k, u) for k, u in enumerate(urls)], "page_id long, url string", 3)
     got = {x.page_id: x for x in url_filter.judge(df).collect()}
     assert len(got) == len(urls)
-    s = url_filter.Scorer({"zorblat": 2, "quimsy": 2, "zorblatcasino": 1, "adultquimsypills": 1, "a": 1, "b": 1, "c": 1, "d": 1, "artisan": 1, "example": 7, "artisanzorblat": 1, "casinozorblat": 1, "ab" * 5000: 1})
+    s = url_filter.Scorer({"zorblat": 2, "quimsy": 2, "zorblatcasino": 1, "adultquimsypills": 1, "a": 1, "b": 1, "c": 1, "d": 1, "artisan": 1, "example": 9, "мир": 1, "новыймир": 1, "новый": 1, "e": 1, "f": 1, "casino": 1, "artisanzorblat": 1, "casinozorblat": 1, "ab" * 5000: 1})
     assert s.split("zorblatcasino") == ["zorblat", "casino"] and s.split("quimsyzorblat") == ["quimsy", "zorblat"] and url_filter.Scorer({}).split("quimsyzorblat") == ["quimsyzorblat"]
     assert s.split("artisanzorblat") == ["artisan", "zorblat"] and url_filter.Scorer({}).split("artisanzorblat") != ["artisan", "zorblat"]
     for k, u in enumerate(urls):

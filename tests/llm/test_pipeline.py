@@ -1,13 +1,15 @@
 import re
+from pathlib import Path
 
 import duckdb
 import pytest
 
 import corpus_pipeline
-from scrivane.llm import quality, queries, simhash, substring
-from scrivane.llm.common import table
+from scrivane.llm import queries, simhash, substring
+from scrivane.llm.common import shared_dir, table
 
-from .test_documents import brute_components, brute_passages, brute_print, brute_quality, brute_units
+from .conftest import CLASHES, DOCS
+from .test_documents import brute_components, brute_kept, brute_passages, brute_print, brute_units, odd_rows
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -52,13 +54,10 @@ def test_stages_equal_brute_force(spark):
     docs = table(spark, SMALL, "documents")
     columns = docs.columns
     one = corpus_pipeline.STAGES[0][1](spark, docs, SMALL)
-    judged = {r.doc_id: r for r in quality.quality(docs).collect()}
     rows = docs.orderBy("doc_id").collect()
-    for r in rows:
-        assert judged[r.doc_id].base_failed == brute_quality(r.text)[-1]
+    left = [r for r in rows if brute_kept(r.text, r.lang)]
     kept = sorted(r.doc_id for r in one.collect())
-    assert one.columns == columns and kept == [r.doc_id for r in rows if judged[r.doc_id].kept]
-    left = [r for r in rows if judged[r.doc_id].kept]
+    assert one.columns == columns and kept == [r.doc_id for r in left]
     label = brute_components([brute_print(r.text) for r in left])
     stays = [r for k, r in enumerate(left) if label[k] == k]
     end = corpus_pipeline.run(spark, SMALL).collect()
@@ -72,6 +71,22 @@ def test_stages_equal_brute_force(spark):
     assert got == want
 
 
+def test_odd_rows_go_through(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, and columns with the operators' own names."""
+    extra = (7, 7, 7, 7, 7, "k", True, 7, 7, "d", 7, 7, "t")
+    spark.createDataFrame([(*r, *extra) for r in odd_rows()], f"{DOCS}, {CLASHES}").write.parquet(str(tmp_path / "documents.parquet"))
+    end = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    texts = [t for r in odd_rows() if brute_kept(t := r[1], r[2])]
+    assert sorted({x.doc_id for x in end}, key=str) == [3, 4, 6] and sum(x.length for x in end) == sum(len(t.encode()) + 1 for t in {odd_rows()[k][1] for k in (3, 4, 6)}) and len(texts) > 3
+
+
+def test_a_run_leaves_its_result_only(spark):
+    root = Path(shared_dir(spark).removeprefix("file://")) / f"scrivane-{spark.sparkContext.applicationId}"
+    before = {p.name for p in root.iterdir()}
+    end = corpus_pipeline.run(spark, SMALL)
+    assert end.count() and {p.name.split("-")[0] for p in {p for p in root.iterdir() if p.name not in before}} == {"stage3"}
+
+
 def test_empty_corpus(spark, tmp_path):
     table(spark, SMALL, "documents").where("false").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
