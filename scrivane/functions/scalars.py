@@ -44,7 +44,7 @@ def _seldom_shortest(c: Column) -> Column:
     power = F.replace(F.lower(text), F.lit(".0e"), F.lit("e"))
     for digits_ in (16, 15, 14):  # of numbers this large, the JVM prints some with more digits than they need
         fewer = F.regexp_replace(F.format_string(f"%.{digits_}e", c), r"\.?0*e\+", "e")
-        power = F.when((size >= 1e16) & (fewer.cast("double") == c), fewer).otherwise(power)
+        power = F.when((size >= 1e16) & (fewer.try_cast("double") == c), fewer).otherwise(power)
     return F.when((size >= 1e-5) & (size < 1e16), plain).otherwise(power)
 
 

@@ -16,6 +16,6 @@ def read_table(spark: SparkSession, path: str, *keys: str) -> DataFrame:
     df = spark.read.parquet(path)
     run = df._jdf.queryExecution()
     cores = spark.sparkContext.defaultParallelism
-    if int(run.optimizedPlan().stats().sizeInBytes().toString()) < LEAST_BYTES or run.toRdd().getNumPartitions() >= cores:
+    if int(str(run.optimizedPlan().stats().sizeInBytes())) < LEAST_BYTES or run.toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)
