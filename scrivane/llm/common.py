@@ -27,7 +27,22 @@ def by_value(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+#: Rows of a batch that goes to Python; texts may be long, and both sides of the pipe hold a batch or two outside of the heap.
+BATCH_ROWS = 1000
+_BATCH, _PARTS = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.files.minPartitionNum"
+
+
+def settle(spark: SparkSession) -> None:
+    """Sets what operators rely on for the session, where neither the session nor the application has set it: the size of
+    batches for Python, and the number of partitions of a scan, which Spark else takes from the cores alive when a job is planned."""
+    if not spark.sparkContext.getConf().contains(_BATCH) and spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    if spark.conf.get(_PARTS, None) is None:
+        spark.conf.set(_PARTS, str(spark.sparkContext.defaultParallelism))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    settle(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -66,6 +81,7 @@ def materialise(df: DataFrame, tag: str, path: str | None = None, lasting: bool
     Such tables stay until the tidy() around goes, but lasting ones, which the one around that one keeps; without any
     until clean() or until the folder goes, as results read them when they are used.
     """
+    settle(df.sparkSession)
     path = path or scratch(df.sparkSession, tag)
     if len(_made) > lasting:
         _made[-1 - lasting].append(path)
@@ -113,12 +129,9 @@ def fresh(df: DataFrame, name: str) -> str:
 def row_key(df: DataFrame, name: str) -> DataFrame:
     """Adds a key that tells apart even equal rows. The same reread table gives the same keys; other plans raise ValueError.
 
-    Keys follow the scan's partitions, whose number Spark takes from the cores alive when a job is planned; it is fixed
-    here for the session, if it isn't yet, so that a lost executor between two jobs changes no key.
+    Keys follow the scan's partitions, whose number settle() fixes, so that a lost executor between two jobs changes no key.
     """
-    spark = df.sparkSession
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    settle(df.sparkSession)
     todo = [df._jdf.queryExecution().analyzed()]
     while todo:
         node = todo.pop()
