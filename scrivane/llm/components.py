@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivane.llm.common import clean, materialise, scratch
+from scrivane.llm.common import clean, materialise, scratch, small, tidy
 
 
 def _large(edges: DataFrame) -> DataFrame:
     """Each node hangs its larger neighbours onto its smallest neighbour (or itself)."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return both.join(small(materialise(least, "least")), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Each node hangs its smaller neighbours and itself onto the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = materialise(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+    moved = edges.join(small(least), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b")))
 
 
@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     edges: two columns of one orderable type; direction, loops, repeats and nulls don't matter. Rounds grow with the
     logarithm of the components' size; each is written to the shared folder, and only its count and checksum reach
-    the driver. Minima are aggregated before the shuffle, and the joins on hot nodes are ones that Spark can split.
+    the driver. Minima are aggregated before the shuffle and written, so that the joins on hot nodes are ones that Spark can split.
     """
     a, b = edges.columns
     now = edges.where(f"`{a}` <> `{b}`").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
@@ -38,6 +38,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark[0] == 0 or mark == before:
             break
         before, old, path = mark, path, scratch(spark, "edges")
-        now = materialise(_small(_large(now).distinct()).distinct(), "edges", path)
+        with tidy(spark):
+            larger = materialise(_large(now).distinct(), "larger")
+            now = materialise(_small(larger).distinct(), "edges", path, lasting=True)
         clean(spark, old)  # a round has been written whole; nothing reads the one before it
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select(F.col("b"), F.col("b")).distinct())
