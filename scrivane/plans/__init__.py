@@ -455,3 +455,26 @@ def _(spark, t):
 @_query("as_json_table", f"SELECT '[' || string_agg({S.row(('n_nationkey', S.whole('n_nationkey')), ('n_name', S.quoted('n_name')), ('n_regionkey', S.whole('n_regionkey')))}, ',' ORDER BY n_nationkey) || ']' AS json FROM nation")
 def _(spark, t):
     return as_json(t("nation"), order_by="n_nationkey")
+
+
+@_query("document_format", "SELECT 'json' AS rows, 'geojson' AS features")
+def _(spark, t):
+    """What a document is, in its column's metadata."""
+    of = lambda df: F.lit(df.schema["json"].metadata["format"])
+    return spark.range(1).select(of(to_json_array(t("region"), "r_regionkey")).alias("rows"), of(to_geojson(_places(spark, t), "geometry", "s_suppkey")).alias("features"))
+
+
+@_query(
+    "input_errors",
+    "SELECT * FROM (VALUES (1, 'Not a DataFrame'), (2, 'Not a spatial table (no column geometry)'), (3, 'Not a spatial table (r_name is no geometry)'), (4, 'column names must be unique: r_name')) AS e(k, error)",
+)
+def _(spark, t):
+    region = t("region")
+    wrong = [lambda: to_json_array([1]), lambda: to_geojson(region, "geometry"), lambda: feature_json(region, "r_name"), lambda: row_json(region.select("r_name", "r_name"))]
+    found = []
+    for k, call in enumerate(wrong, 1):
+        try:
+            call()
+        except (TypeError, ValueError) as e:
+            found.append((k, str(e)))
+    return spark.createDataFrame(found, "k int, error string")
