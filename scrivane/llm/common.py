@@ -136,7 +136,7 @@ def row_key(df: DataFrame, name: str) -> DataFrame:
     while todo:
         node = todo.pop()
         kind, children = node.nodeName(), node.children()
-        if not re.match("Project|Filter|SubqueryAlias|Relation|LogicalRelation|LocalRelation|View", kind):
+        if not re.match("Project|Filter|SubqueryAlias|Relation|LogicalRelation|LocalRelation|DataSourceV2|View", kind):
             raise ValueError(f"rows of a plan with {kind} have no lasting keys; write it and read it again")
         todo += [children.apply(k) for k in range(children.size())]
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -77,7 +77,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _coded(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code, start, end) of the words in a block; words don't reach over edges."""
+    """(unmixed code, start, end) of the words in a block; words don't reach over edges."""
     space = _SPACE[data]
     first, last = ~space, ~space
     first[1:] &= space[:-1]
@@ -88,7 +88,7 @@ def _coded(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * backward(len(data) + 1)[starts]), starts, ends
+    return (sums[ends] - sums[starts]) * backward(len(data) + 1)[starts], starts, ends
 
 
 class Words:
@@ -96,20 +96,26 @@ class Words:
 
     def __init__(self, texts: pa.Array):
         self.data, self.edges = raw(texts)
-        gaps, parts, at = np.flatnonzero(_SPACE[self.data]) + 1, [], 0
-        while at < len(self.data):  # blocks end after white space or with a text; a longer word makes a longer block
-            before, after = [], []
-            for stops in (gaps, self.edges):
-                k = np.searchsorted(stops, at + BLOCK, "right")
-                before += stops[max(0, k - 1) : k].tolist()
-                after += stops[k : k + 1].tolist()
-            end = max(before, default=0)
-            end = end if end > at else min(after)
+        space = _SPACE[self.data]
+        gaps, parts, at = np.flatnonzero(space) + 1, [], 0
+        while at < len(self.data):  # blocks end after white space or with a text, or else within a word
+            end = min(at + BLOCK, len(self.data))
+            before = [int(x[k - 1]) for x in (gaps, self.edges) if (k := np.searchsorted(x, end, "right"))]
+            end = max((x for x in before if x > at), default=end)
             inside = self.edges[np.searchsorted(self.edges, at) : np.searchsorted(self.edges, end)] - at
             codes, starts, ends = _coded(self.data[at:end], inside)
-            parts.append((codes, starts + at, ends + at))
+            starts, ends = starts + at, ends + at
+            if parts and len(starts) and starts[0] == at and parts[-1][2][-1:].tolist() == [at] and at not in self.edges[np.searchsorted(self.edges, at) :][:1]:
+                held = parts[-1]  # the rest of a word that the block before has begun
+                with np.errstate(over="ignore"):
+                    held[0][-1] += codes[0] * np.uint64(pow(_BASE, at - int(held[1][-1]), 2**64))
+                held[2][-1] = ends[0]
+                codes, starts, ends = codes[1:], starts[1:], ends[1:]
+            if len(starts):
+                parts.append((codes, starts, ends))
             at = end
         self.codes, self.starts, self.ends = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, t) for k, t in enumerate((np.uint64, np.int64, np.int64)))
+        self.codes = mixed(self.codes)
         #: Where the words of each text begin, and the last end.
         self.bounds = np.searchsorted(self.starts, self.edges)
         self._points = None
