@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivane.llm.common import materialise, small
+from scrivane.llm.common import materialise
 
 
 def bucket_cells(members: DataFrame, key: str, member: str, limit: int) -> DataFrame:
@@ -18,11 +18,11 @@ def bucket_cells(members: DataFrame, key: str, member: str, limit: int) -> DataF
     and hashes are aggregated before they are shuffled. members has no repeats within a bucket.
     """
     sizes = materialise(members.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    shared = materialise(members.join(small(sizes), key).select(key, member, "n"), "shared")
+    shared = materialise(members.join(sizes, key).select(key, member, "n"), "shared")
     marks = [F.bit_xor(F.xxhash64(member)).alias("x"), F.sum(F.xxhash64(member, F.lit(1)).bitwiseAND(F.lit(2**32 - 1))).alias("y")]
     kept = materialise(shared.groupBy(key, "n").agg(*marks).groupBy("n", "x", "y").agg(F.min(key).alias(key)).select(key), "buckets")
     shards = F.ceil(F.col("n") / limit).cast("int")
-    dealt = shared.join(small(kept), key).select(key, member, shards.alias("s"), F.pmod(F.xxhash64(member), shards).cast("int").alias("i"))
+    dealt = shared.join(kept, key).select(key, member, shards.alias("s"), F.pmod(F.xxhash64(member), shards).cast("int").alias("i"))
     each = dealt.select(key, member, "i", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("j"))
     lo, hi = F.least("i", "j").cast("long"), F.greatest("i", "j").cast("long")
     return each.select(key, lo.alias("lo"), hi.alias("hi"), (F.col("i") > F.col("j")).cast("int").alias("side"), member)

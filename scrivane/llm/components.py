@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivane.llm.common import clean, materialise, scratch, small, tidy
+from scrivane.llm.common import clean, materialise, scratch, tidy
 
 
 def _large(edges: DataFrame) -> DataFrame:
     """Each node hangs its larger neighbours onto its smallest neighbour (or itself)."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(small(materialise(least, "least")), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return both.join(materialise(least, "least"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Each node hangs its smaller neighbours and itself onto the smallest of them."""
     least = materialise(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
-    moved = edges.join(small(least), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b")))
 
 

@@ -65,14 +65,14 @@ def repeated_runs(keyed: DataFrame, order: DataFrame, probes: DataFrame, gone: D
     """
     shared = lambda df: df.groupBy("hash").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("hash")
     twice = materialise(shared(probes), "twice")
-    hits = probes.join(small(twice), "hash")
+    hits = probes.join(twice, "hash")
     gone = materialise(gone, "gone")
     for unit in ("unit", "last"):
-        hits = hits.join(small(gone.withColumnRenamed("unit", unit)), ["row", unit], "left_anti")
+        hits = hits.join(gone.withColumnRenamed("unit", unit), ["row", unit], "left_anti")
     hits = materialise(hits.select("row", "hash", "place"), "left")
-    places = hits.join(small(materialise(shared(hits), "again")), "hash").groupBy("row").agg(F.collect_list("place").alias("hits"))
+    places = hits.join(materialise(shared(hits), "again"), "hash").groupBy("row").agg(F.collect_list("place").alias("hits"))
     units = gone.groupBy("row").agg(F.collect_list("unit").alias("gone"))
-    places = materialise(places.join(units, "row", "left").join(small(order.drop("id")), "row"), "places")
+    places = materialise(places.join(units, "row", "left").join(order.drop("id"), "row"), "places")
     windows = keyed.select("row", "text").join(small(places), "row").select("nth", "text", "gone", "hits").mapInArrow(_windows(least), _WINDOWS)
     windows = materialise(windows, "windows")
     firsts = windows.groupBy("hash").agg(F.min("nth").alias("first"), F.max("nth").alias("high")).where("first < high").select("hash", "first")
@@ -81,7 +81,7 @@ def repeated_runs(keyed: DataFrame, order: DataFrame, probes: DataFrame, gone: D
     islands = many.withColumn("island", F.col("place") - F.row_number().over(own)).groupBy("nth", "removed", "island")
     runs = islands.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("para").alias("para"), F.count("*").alias("n"), F.min_by("first", "place").alias("first"))
     runs = materialise(runs, "runs")
-    runs = runs.join(small(order), "nth").join(small(order.select(F.col("nth").alias("first"), F.col("id").alias("keeper"))), "first")
+    runs = runs.join(order, "nth").join(order.select(F.col("nth").alias("first"), F.col("id").alias("keeper")), "first")
     words = (F.col("n") + least - 1).cast("int").alias("words")
     return runs.select("row", "id", F.lit("run").alias("kind"), "para", "start", (F.col("end") - F.col("start")).alias("length"), words, "keeper", F.lit(None).cast("int").alias("keeper_para"), "removed")
 

@@ -126,8 +126,8 @@ def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id") -> Da
         labels = connected_components(dealt_cells(cells, "shard", "fp").mapInArrow(_links, "a long, b long"))
         grouped = materialise(nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("root")), "grouped")
         component = materialise(grouped.groupBy("root").agg(F.min("first").alias("component")), "component")
-        of_print = materialise(grouped.select("fp", "root").join(small(component), "root").select("fp", "component"), "components")
-        return materialise(prints.join(small(of_print), "fp").select("id", "fp", "component"), "near", lasting=True)
+        of_print = materialise(grouped.select("fp", "root").join(component, "root").select("fp", "component"), "components")
+        return materialise(prints.join(of_print, "fp").select("id", "fp", "component"), "near", lasting=True)
 
 
 def hex64(fp: str) -> Column:
@@ -148,7 +148,7 @@ def _without(keyed: DataFrame, text: str, row: str, id: str) -> DataFrame:
     order = F.struct(F.col("doc").isNull().alias("z"), F.col("doc").alias("doc"), F.col("id").alias("id"))
     groups = ids.groupBy("component").agg(F.min(order).alias("stays"), F.count("*").alias("n")).where("n > 1")
     groups = materialise(groups, "groups")
-    gone = materialise(ids.join(small(groups), "component").where("id <> stays.id").select(F.col("id").alias(row)), "gone", lasting=True)
+    gone = materialise(ids.join(groups, "component").where("id <> stays.id").select(F.col("id").alias(row)), "gone", lasting=True)
     return keyed.join(small(gone), row, "left_anti").drop(row)
 
 

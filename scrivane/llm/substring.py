@@ -182,20 +182,20 @@ def _passages(df: DataFrame, text: str, id: str, least_words: int, similar: floa
     classes = materialise(classes.select(F.monotonically_increasing_id().alias("class"), "*"), "classes")
     cells = materialise(bucket_cells(classes.select("class", F.explode("bands").alias("band")), "band", "class", SHARD), "cells")
     asked = materialise(cells.select("class").distinct(), "asked")
-    where = materialise(classes.select("class", "at.row", "at.start", "at.length").join(small(asked), "class"), "places")
+    where = materialise(classes.select("class", "at.row", "at.start", "at.length").join(asked, "class"), "places")
     texts = keyed.select("row", "text").join(small(where), "row").select("class", F.expr("substring(text, start + 1, length)").alias("text"))
     sets = materialise(texts.mapInArrow(_sets, "class long, hashes binary"), "sets")
     full = dealt_cells(cells.join(sets, "class").select("band", "lo", "hi", "side", "class", "hashes"), "band", "class")
     labels = materialise(connected_components(full.mapInArrow(_verified(similar), "a long, b long")), "labels")
     of = classes.select("class", "digest")
-    labels = of.withColumnRenamed("class", "node").join(small(labels), "node").join(of.select(F.col("class").alias("label"), F.col("digest").alias("root")), "label")
+    labels = of.withColumnRenamed("class", "node").join(labels, "node").join(of.select(F.col("class").alias("label"), F.col("digest").alias("root")), "label")
     labels = materialise(labels.select("digest", "root"), "roots")
 
-    found = paras.drop("bands").join(small(labels), "digest", "left").join(small(order), "row")
+    found = paras.drop("bands").join(labels, "digest", "left").join(order, "row")
     found = found.select("nth", "row", "id", "unit", "para", "start", "length", "words", F.coalesce("root", "digest").alias("root"))
     found = materialise(found, "found")
     firsts = found.groupBy("root").agg(F.min(F.struct("nth", "unit", "id", "para")).alias("stays"), F.count("*").alias("n")).where("n > 1").drop("n")
-    both = found.join(small(materialise(firsts, "firsts")), "root")
+    both = found.join(materialise(firsts, "firsts"), "root")
     removed = ~((F.col("nth") == F.col("stays.nth")) & (F.col("unit") == F.col("stays.unit")))
     both = both.withColumns({"kind": F.lit("paragraph"), "keeper": F.col("stays.id"), "keeper_para": F.col("stays.para"), "removed": removed})
     columns = ("row", "id", "kind", "para", "start", "length", "words", "keeper", "keeper_para", "removed")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrivane.llm import vocabulary
-from scrivane.llm.common import by_value, exists, materialise, scratch, small, text_of
+from scrivane.llm.common import by_value, exists, materialise, scratch, text_of
 
 LIMIT = 1024
 #: Bytes of text that a worker encodes at once.
@@ -85,7 +85,7 @@ def count_tokens(df: DataFrame, text: str = "text", id: str = "doc_id", file: st
     misses = distinct.join(read_cache(df, cache, version), "digest", "left_anti")
     misses.mapInArrow(_counts(file, version), _SCHEMA).write.mode("append").parquet(cache)
     rows = df.select(F.col(f"`{id}`").alias("_id"), F.octet_length(own).cast("long").alias("n_bytes"), F.unhex(F.sha2(own, 256)).alias("digest"))
-    found = rows.join(small(materialise(read_cache(df, cache, version), "counts")), "digest")
+    found = rows.join(materialise(read_cache(df, cache, version), "counts"), "digest")
     return found.select(F.col("_id").alias(id), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from scrivane.llm.common import by_value
 
 #: Bytes that are looked at together, and bytes of the texts of a slice, if it has more than one text.
-BLOCK, SLICE = 1 << 20, 2 << 20
+BLOCK, SLICE = 1 << 18, 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0xD6E8FEB86659FD93
