@@ -108,8 +108,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 def small(df: DataFrame, rows: int | None = None, most: int | None = None) -> DataFrame:
     """df, a written table, marked for broadcast if it has been measured to have few rows and bytes; else unchanged, for a shuffled join.
 
-    For joins with whole texts or with all that a corpus yields, which a broadcast saves from being shuffled. Others are
-    shuffled: executors keep broadcasts until the driver happens to collect its garbage, and many of them fill their memory.
+    Executors keep broadcasts until the driver happens to collect its garbage, so rounds that repeat (components) shuffle.
     """
     size = F.lit(8 * len(df.columns))
     for f in df.schema:
