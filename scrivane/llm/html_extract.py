@@ -6,11 +6,13 @@ import html
 import json
 import re
 import sys
-from bisect import bisect_left
 from collections import OrderedDict
 from collections.abc import Iterator
 from hashlib import blake2b, sha256
+from itertools import accumulate
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +31,9 @@ CONTENT = 0.75
 TEXTS = 64
 #: A template of more nodes loses those on so few of the pages merged so far (a part of SHARE) that they can't become template.
 NODES, RARE = 4096, SHARE / 4
-#: Two lists of children are matched at best if they have so many pairs, else in order, each with the next of its label.
-PAIRS = 4096
+#: Two lists of children with more possible pairs are matched by rows of a band, with the same pairs: places off the diagonal that
+#: are tried first, and numbers that a table of rows or of weights may hold (rows beyond them are made again where they are needed).
+PAIRS, BAND, CELLS = 4096, 8, 1 << 22
 #: Calls that a worker may nest, as trees are as deep as their pages.
 DEEP = 100_000
 #: Templates are broadcast if they hold no more bytes than this in all, else joined by a shuffle.
@@ -239,37 +242,66 @@ def unflat(text: str) -> list:
 Pairs = list[tuple[int, int, list]]
 
 
-def match(a: list[list], b: list[list]) -> tuple[int, Pairs]:
+class Shapes:
+    """Of one matching: the numbers of its nodes' trees (equal trees of labels have one), how many nodes each has, and how many can be paired of two."""
+
+    __slots__ = ("numbers", "of", "sizes", "weights")
+
+    def __init__(self):
+        self.numbers: dict[tuple, int] = {}
+        self.of: dict[int, int] = {}
+        self.sizes: list[int] = []
+        self.weights: dict[tuple[int, int], int] = {}
+
+    def learn(self, forest: list[list]) -> list[int]:
+        order, todo = [], list(forest)
+        while todo:
+            t = todo.pop()
+            if id(t) not in self.of:
+                order.append(t)
+                todo += t[CHILDREN]
+        for t in reversed(order):
+            below = [self.of[id(c)] for c in t[CHILDREN]]
+            k = self.of[id(t)] = self.numbers.setdefault((t[LABEL], *below), len(self.sizes))
+            if k == len(self.sizes):
+                self.sizes.append(1 + sum(self.sizes[c] for c in below))
+        return [self.of[id(t)] for t in forest]
+
+    def weight(self, x: list, y: list) -> int:
+        """The most nodes that can be paired of two trees whose roots have one label."""
+        k = self.of[id(x)], self.of[id(y)]
+        if k[0] == k[1]:
+            return self.sizes[k[0]]
+        if k not in self.weights:
+            w = 1 + match(x[CHILDREN], y[CHILDREN], self, False)[0]
+            if self.sizes[k[0]] * self.sizes[k[1]] <= PAIRS and len(self.weights) > CELLS // 8:
+                return w
+            self.weights[k] = w  # large trees always: long lists within long lists would be matched anew for each list around them
+        return self.weights[k]
+
+
+def match(a: list[list], b: list[list], shapes: Shapes | None = None, paired: bool = True) -> tuple[int, Pairs]:
     """Simple tree matching of two ordered forests: the most nodes that can be paired by label in order, and the pairs of
-    roots, each with the pairs below. No child is left out, however many there are; lists of over PAIRS pairs are matched in order."""
+    roots, each with the pairs below (none unless paired; shapes has to know the trees then). No child is left out, however
+    many there are; of several best matchings the one whose pairs stand last is taken, whatever the lists' lengths."""
     n, m = len(a), len(b)
     if not n or not m:
         return 0, []
+    shapes = shapes or Shapes()
     if n * m > PAIRS:
-        places: dict[str, list[int]] = {}
-        for j, y in enumerate(b):
-            places.setdefault(y[LABEL], []).append(j)
-        total, out, at = 0, [], 0
-        for i, x in enumerate(a):
-            own = places.get(x[LABEL], ())
-            k = bisect_left(own, at)
-            if k < len(own):
-                w, below = match(x[CHILDREN], b[own[k]][CHILDREN])
-                out.append((i, own[k], below))
-                total, at = total + 1 + w, own[k] + 1
-        return total, out
+        return _match_long(a, b, shapes, paired)
     below: dict[tuple[int, int], tuple[int, Pairs]] = {}
     for i, x in enumerate(a):
         for j, y in enumerate(b):
             if x[LABEL] == y[LABEL]:
-                below[i, j] = match(x[CHILDREN], y[CHILDREN])
+                below[i, j] = match(x[CHILDREN], y[CHILDREN], shapes) if paired else (shapes.weight(x, y) - 1, [])
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(1, n + 1):
         row, up = best[i], best[i - 1]
         for j in range(1, m + 1):
             w = below.get((i - 1, j - 1))
             row[j] = max(up[j], row[j - 1], up[j - 1] + 1 + w[0] if w else 0)
-    pairs, i, j = [], n, m
+    pairs, i, j = [], n if paired else 0, m
     while i and j:
         w = below.get((i - 1, j - 1))
         if w and best[i][j] == best[i - 1][j - 1] + 1 + w[0]:
@@ -282,6 +314,112 @@ def match(a: list[list], b: list[list]) -> tuple[int, Pairs]:
     return best[n][m], pairs[::-1]
 
 
+def _match_long(a: list[list], b: list[list], shapes: Shapes, paired: bool) -> tuple[int, Pairs]:
+    """match's own table, row by row, of the places j - i from low to high only. Whatever leaves them skips over `off` children
+    of both lists, so that if the best within exceeds what the others could reach, all best matchings are within; else the band grows."""
+    n, m = len(a), len(b)
+    own, other = shapes.learn(a), shapes.learn(b)
+    kinds = {s: k for k, s in enumerate(dict.fromkeys(other))}
+    first = dict(zip(reversed(other), reversed(b), strict=True))
+    first = [first[s] for s in kinds]
+    labelled: dict[str, list[int]] = {}
+    for k, y in enumerate(first):
+        labelled.setdefault(y[LABEL], []).append(k)
+    known: OrderedDict[int, np.ndarray] = OrderedDict()  # of a's shapes, the weights with b's; -1: not yet known
+
+    label = {name: k for k, name in enumerate(labelled)}
+    kind = np.array([*(label[y[LABEL]] for y in first), -2])
+    size = np.array([*(shapes.sizes[s] for s in kinds), 0], np.int32)
+
+    def most(i: int, at: np.ndarray) -> np.ndarray:
+        """No less than the weights, by sizes alone."""
+        return np.where(kind[at] == label.get(a[i][LABEL], -1), np.minimum(size[at], np.int32(shapes.sizes[own[i]])), np.int32(0))
+
+    def weights(i: int, at: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+        row = known.get(own[i])
+        if row is None:
+            while len(known) * len(first) > CELLS:
+                known.popitem(last=False)
+            row = known[own[i]] = np.zeros(len(first) + 1, np.int32)
+            row[labelled.get(a[i][LABEL], [])] = -1
+        w = row[at]
+        if w.min() < 0:
+            for k in np.unique(at[w < 0 if wanted is None else (w < 0) & wanted]).tolist():
+                row[k] = shapes.weight(a[i], first[k])
+            w = np.maximum(row[at], 0)
+        return w
+
+    def reached(x: list[list], at: list[int], y: list[list], there: list[int]) -> list[int]:
+        """The most nodes in pairs if the k least children of x are skipped, for each k."""
+        most: dict[str, int] = {}
+        for t, s in zip(y, there, strict=True):
+            most[t[LABEL]] = max(most.get(t[LABEL], 0), shapes.sizes[s])
+        each = sorted((min(shapes.sizes[s], most.get(t[LABEL], 0)) for t, s in zip(x, at, strict=True)), reverse=True)
+        return [*accumulate(each, initial=0)][::-1]
+
+    bounds = reached(a, own, b, other), reached(b, other, a, own)
+    off, total = BAND, 0
+    while True:
+        low, high = max(-n, min(0, m - n) - off), min(m, max(0, m - n) + off)
+        width = high - low + 1
+        places = np.full(n + high - low, len(first))  # b's kinds, and beyond its ends one that nothing pairs with
+        places[-low : m - low] = [kinds[s] for s in other]
+        step = 1 if n * width <= CELLS else isqrt(n) + 1
+
+        def after(row: np.ndarray, w: np.ndarray) -> np.ndarray:
+            now = row + w
+            np.maximum(now[:-1], row[1:], out=now[:-1])
+            return np.maximum.accumulate(now)
+
+        ends: list[np.ndarray] = []  # the most that sizes allow from each place on, from the last row up
+        if total and step == 1 and len(kinds) * len(set(own)) > PAIRS:
+            row = np.zeros(width, np.int32)
+            for i in range(n - 1, -1, -1):
+                ends.append(row)
+                row = after(row[::-1], most(i, places[i : i + width])[::-1])[::-1]
+        row = begun = np.zeros(width, np.int32)
+        kept = {0: row}
+        for i in range(n):
+            at, wanted = places[i : i + width], None
+            if ends:  # what can't reach the best of the narrower band is in no best matching: its weight may count as none
+                w = most(i, at)
+                wanted = begun + w + ends.pop() >= total
+                begun = after(begun, w)
+            row = after(row, weights(i, at, wanted))
+            if paired and (i + 1) % step == 0:
+                kept[i + 1] = row
+        total = int(row[m - n - low])
+        if off >= min(n, m) or total > min(x[off + 1] for x in bounds):
+            break
+        off *= 4
+    if not paired:
+        return total, []
+    found, held, i, j = [], {}, n, m
+    while i and j:
+        if i - 1 not in held:
+            start = (i - 1) // step * step
+            row = kept[start]
+            held = {start: row}
+            for x in range(start, min(start + step, n)):
+                row = held[x + 1] = kept[x + 1] if x + 1 in kept else after(row, weights(x, places[x : x + width]))
+        now, up, k = held[i], held[i - 1], j - i - low
+        w = weights(i - 1, places[i - 1 + k : i + k])[0]
+        if w and now[k] == up[k] + w:
+            i, j = i - 1, j - 1
+            found.append((i, j))
+        elif k + 1 < width and now[k] == up[k + 1]:
+            i -= 1
+        else:
+            j -= 1
+    made: dict[tuple[int, int], Pairs] = {}
+    pairs = []
+    for i, j in reversed(found):
+        if (own[i], other[j]) not in made:
+            made[own[i], other[j]] = match(a[i][CHILDREN], b[j][CHILDREN], shapes)[1]
+        pairs.append((i, j, made[own[i], other[j]]))
+    return total, pairs
+
+
 def _joined(a: list, b: list, pairs: Pairs) -> list:
     """Both nodes as one. Texts are counted by a mergeable summary: a count lacks LACK at most."""
     texts = a[KEPT]

@@ -155,6 +155,34 @@ def test_templates_of_many_children_and_levels(spark, reread):
     assert {x.page_id: x.text for x in got} == {k: f"Own text {k}." for k in range(8)}
 
 
+def test_long_lists_are_matched_as_short_ones(spark, reread, monkeypatch):
+    r = random.Random(11)
+
+    def forest(most, depth):
+        return [leaf(r.choice("abcd"), *(forest(3, depth - 1) if depth else [])) for _ in range(r.randint(0, 3) if most == 3 else most)]
+
+    def edited(trees):
+        return [leaf(t[0], *edited(t[1])) for t in trees if r.random() > 0.1 for t in ([t] if r.random() > 0.1 else [*forest(1, 1), t])]
+
+    for k in range(30):
+        a = forest(r.randint(70, 100), 2)
+        b = edited(a) if k % 2 else forest(90, 2)
+        b = b[40:] + b[:40] if k % 4 == 3 else b
+        monkeypatch.setattr(html_extract, "PAIRS", 1 << 40)
+        want = html_extract.match(a, b)
+        monkeypatch.setattr(html_extract, "PAIRS", 4096)
+        assert html_extract.match(a, b) == want
+        with monkeypatch.context() as other:  # rows made again, a narrow band, long lists within long ones
+            for name, value in (("PAIRS", 4), ("BAND", 1), ("CELLS", 100)):
+                other.setattr(html_extract, name, value)
+            assert html_extract.match(a, b) == want
+    for blocks in (20, 100):  # a block that stands first on some pages and last on others
+        many = "".join(f'<div class="c"><h3>Head {k}</h3></div><section><p>Constant {k}.</p></section>' for k in range(blocks))
+        late = '<div class="late"><p>Own text {0}.</p></div>'
+        got = html_extract.main_text(hosted(reread, ["<body>" + (late + many if k % 2 else many + late).format(k) for k in range(12)])).collect()
+        assert {x.page_id: x.text for x in got} == {k: f"Own text {k}." for k in range(12)}
+
+
 def test_the_template_decides_within_articles_and_without_names(spark, reread, monkeypatch):
     page = '<body><div class="q{1}x"><ul><li><a href="/{0}">{0}</a></ul><p>Offer {0}</p></div><div class="y"><h1>Head {0}</h1><p>First of {0}, long enough to stand out.</p><p>Become a member today.</p><p>Second of {0}, long enough as well.</p><figure><figcaption>Caption {0}</figcaption></figure></div><div class="z"><p>Line {0}</p></div></body>'
     want = {k: f"Head w{k}\n\nFirst of w{k}, long enough to stand out.\n\nSecond of w{k}, long enough as well.\n\nCaption w{k}" for k in range(10)}
